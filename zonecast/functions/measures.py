@@ -22,8 +22,8 @@ def relative_error(y: Column, p: Column, eps: float = 1.0) -> Column:
     return F.abs((y - p) / (F.abs(y) + eps))
 
 
-def error_aggregates(y: str, p: str, prefix: str = "") -> list[Column]:
-    """RMSE, MAPE, MAE, R2, pinball at 0.9 and largest error, rounded to 4 places."""
+def error_aggregates(y: str, p: str, prefix: str = "", places: int = 4) -> list[Column]:
+    """RMSE, MAPE, MAE, R2, pinball at 0.9 and largest error, rounded."""
     actual, predicted = F.col(y).cast("double"), F.col(p).cast("double")
     error = actual - predicted
     spread = F.count(error) * F.var_pop(actual)
@@ -36,7 +36,7 @@ def error_aggregates(y: str, p: str, prefix: str = "") -> list[Column]:
         "max_error": F.max(F.abs(error)),
     }
     start = f"{prefix}_" if prefix else ""
-    return [F.round(c, 4).alias(start + name) for name, c in named.items()]
+    return [F.round(c, places).alias(start + name) for name, c in named.items()]
 
 
 def demand_ratio(demand: Column, baseline: Column) -> Column:

@@ -20,7 +20,7 @@ def calibration_curve(df: DataFrame, p: str = "pred", y: str = "demand", bins: i
         F.array_distinct("edges").alias("edges")
     ).scalar()
     placed = df.withColumn("_edges", edges).withColumn(
-        "bin", F.greatest(bucket_of(F.col(p), F.col("_edges"), 2 * bins), F.lit(1)).cast("long")
+        "bin", F.greatest(bucket_of(p, "_edges", 2 * bins), F.lit(1)).cast("long")
     )
     out = placed.groupBy("bin").agg(
         F.avg(p).alias("mean_pred"), F.avg(y).alias("mean_actual"), F.count(y).alias("count")

@@ -32,15 +32,13 @@ def both_sides(reference: DataFrame, current: DataFrame, columns: Sequence[str])
     return ref.unionByName(cur)
 
 
-def _index(expected: Sequence[Column], actual: Sequence[Column]) -> Column:
-    def raised(share: Column) -> Column:
-        return F.when(share == 0, FLOOR_SHARE).otherwise(share)
-
-    terms = [(raised(a) - raised(e)) * F.ln(raised(a) / raised(e)) for e, a in zip(expected, actual)]
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
+def _index(pairs: Sequence[tuple[str, str]]) -> Column:
+    """Sum of (actual - expected) ln(actual / expected) over (expected, actual) shares, 0 raised to 1e-6."""
+    terms = []
+    for expected, actual in pairs:
+        e, a = (f"if({share} = 0, {FLOOR_SHARE}D, {share})" for share in (expected, actual))
+        terms.append(f"({a} - {e}) * ln({a} / {e})")
+    return F.expr(" + ".join(terms))
 
 
 def psi_by_feature(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10,
@@ -56,25 +54,18 @@ def psi_by_feature(reference: DataFrame, current: DataFrame, columns: Sequence[s
     # One row per column of the frame, so the width of the schema bounds it.
     rows = both_sides(reference, current, columns).join(F.broadcast(edges), "feature")
 
-    def edge(i: int) -> Column:
-        nudge = -1e-6 if i == 0 else 1e-6 if i == bins else 0.0
-        return F.get("edges", F.lit(i)) + nudge
-
-    value, is_ref = F.col("value"), F.col("is_ref")
-    sums = []
+    sums = [F.expr("sum(CAST(is_ref AS BIGINT)) AS n_ref"), F.expr("sum(CAST(NOT is_ref AS BIGINT)) AS n_cur")]
     for i in range(bins):
-        above = F.lit(True) if open_ends and i == 0 else value >= edge(i)
-        below = F.lit(True) if open_ends and i == bins - 1 else (value <= edge(i + 1) if i == bins - 1 else value < edge(i + 1))
-        inside = above & below
-        sums.append(F.sum((inside & is_ref).cast("long")).alias(f"ref{i}"))
-        sums.append(F.sum((inside & ~is_ref).cast("long")).alias(f"cur{i}"))
-    counted = rows.groupBy("feature").agg(
-        F.sum(is_ref.cast("long")).alias("n_ref"), F.sum((~is_ref).cast("long")).alias("n_cur"), *sums
-    )
-    expected = [F.col(f"ref{i}") / F.col("n_ref") for i in range(bins)]
-    actual = [F.col(f"cur{i}") / F.col("n_cur") for i in range(bins)]
-    usable = counted.where("n_ref > 0 and n_cur > 0")
-    return usable.select("feature", "n_ref", "n_cur", _index(expected, actual).alias("psi"))
+        low = f"value >= edges[{i}]" if i else "true" if open_ends else "value >= edges[0] - 1e-6D"
+        if i < bins - 1:
+            high = f"value < edges[{i + 1}]"
+        else:
+            high = "true" if open_ends else f"value <= edges[{bins}] + 1e-6D"
+        sums.append(F.expr(f"sum(CAST({low} AND {high} AND is_ref AS BIGINT)) AS ref{i}"))
+        sums.append(F.expr(f"sum(CAST({low} AND {high} AND NOT is_ref AS BIGINT)) AS cur{i}"))
+    counted = rows.groupBy("feature").agg(*sums).where("n_ref > 0 and n_cur > 0")
+    index = _index([(f"(ref{i} / n_ref)", f"(cur{i} / n_cur)") for i in range(bins)])
+    return counted.select("feature", "n_ref", "n_cur", index.alias("psi"))
 
 
 def ks_by_feature(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -83,10 +74,8 @@ def ks_by_feature(reference: DataFrame, current: DataFrame, columns: Sequence[st
         F.sum(F.col("is_ref").cast("long")).alias("r"), F.sum((~F.col("is_ref")).cast("long")).alias("c")
     )
     placed = prefix_sums(counts, "value", ["r", "c"], ["feature"])
-    gap = F.abs(
-        (F.col("r_before") + F.col("r")) / F.col("r_total") - (F.col("c_before") + F.col("c")) / F.col("c_total")
-    )
-    return placed.where("r_total > 0 and c_total > 0").groupBy("feature").agg(F.max(gap).alias("ks"))
+    gap = F.expr("max(abs((r_before + r) / r_total - (c_before + c) / c_total))")
+    return placed.where("r_total > 0 and c_total > 0").groupBy("feature").agg(gap.alias("ks"))
 
 
 def feature_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None,
@@ -161,7 +150,7 @@ def category_psi(reference: DataFrame, current: DataFrame, columns: Sequence[str
     )
     totals = counts.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
     shares = counts.join(totals, "feature").where("n_ref > 0 and n_cur > 0")
-    term = _index([F.col("r") / F.col("n_ref")], [F.col("c") / F.col("n_cur")])
+    term = _index([("(r / n_ref)", "(c / n_cur)")])
     return shares.groupBy("feature").agg(F.sum(term).alias("psi"))
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecast.functions import measures as ms
@@ -56,11 +56,11 @@ class Stacking:
 
     def fit(self, indexed: DataFrame, features: Sequence[str], label: str = "demand") -> "Stacking":
         """`indexed` holds `row_id` (see folds.row_index); keep it stored or cached, it is read per fold."""
-        n = fd.row_count(indexed)
-        if self.mode == "kfold":
-            plan = fd.unshuffled_kfold(n, self.n_folds)
-        else:
-            plan = fd.walk_forward(n, self.n_folds, **self.fold_options)
+        def plan(n: Column) -> list[fd.Fold]:
+            if self.mode == "kfold":
+                return fd.unshuffled_kfold(n, self.n_folds)
+            return fd.walk_forward(n, self.n_folds, **self.fold_options)
+
         oof = out_of_fold(self.models, fd.assign(indexed, plan), self.n_folds, features, label)
         names = _names(self.models)
         rows = VectorAssembler(inputCols=names, outputCol="base").transform(oof.select(*names, label)).persist()
@@ -169,13 +169,13 @@ class Voting:
         return vote(base_predictions(self.fitted, df), names, out).drop(*names)
 
 
-def cross_validate(make: Callable[[], Booster], indexed: DataFrame, plan: list[fd.Fold], features: Sequence[str],
+def cross_validate(make: Callable[[], Booster], indexed: DataFrame, plan: fd.Plan, features: Sequence[str],
                    label: str = "demand") -> DataFrame:
     """Metrics and sizes per fold: fit on the fold's training rows, score its validation rows."""
     assigned = fd.assign(indexed, plan)
     sizes = {(r["fold"], r["role"]): r["n_rows"] for r in fd.fold_sizes(assigned).collect()}  # two rows per fold
     parts = []
-    for fold in range(1, len(plan) + 1):
+    for fold in range(1, fd.fold_count(plan) + 1):
         if not sizes.get((fold, "train")) or not sizes.get((fold, "val")):
             continue
         train = assigned.where((F.col("fold") == fold) & (F.col("role") == "train"))

@@ -12,15 +12,16 @@ from zonecast.functions import measures as ms
 from zonecast.operators.pricing import with_baseline, zone_baseline
 
 
-def metrics(df: DataFrame, y: str = "demand", p: str = "pred", prefix: str = "") -> DataFrame:
-    return df.agg(*ms.error_aggregates(y, p, prefix))
+def metrics(df: DataFrame, y: str = "demand", p: str = "pred", prefix: str = "", places: int = 4) -> DataFrame:
+    return df.agg(*ms.error_aggregates(y, p, prefix, places))
 
 
-def metrics_by(df: DataFrame, keys: Sequence[str], y: str = "demand", p: str = "pred") -> DataFrame:
+def metrics_by(df: DataFrame, keys: Sequence[str], y: str = "demand", p: str = "pred",
+               places: int = 4) -> DataFrame:
     """All metrics and the sample count per key, worst MAPE first."""
     return (
         df.groupBy(*keys)
-        .agg(*ms.error_aggregates(y, p), F.count(F.lit(1)).alias("n_samples"))
+        .agg(*ms.error_aggregates(y, p, places=places), F.count(F.lit(1)).alias("n_samples"))
         .orderBy(F.desc("mape"), *keys)
     )
 

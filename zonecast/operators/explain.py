@@ -191,9 +191,9 @@ def quartile_edges(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return as_map.select(F.struct(*[F.element_at("m", F.lit(f)).alias(f) for f in features]).alias("edges"))
 
 
-def quartile_bin(value: Column, edges: Column) -> Column:
+def quartile_bin(value: str, edges: str) -> Column:
     """0-based right-closed bin of a value between distinct edges."""
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
+    inner = f"slice({edges}, 2, greatest(size({edges}) - 2, 0))"
     return bucket_of(value, inner, 8)
 
 
@@ -210,7 +210,7 @@ def lime(df: DataFrame, features: Sequence[str], score: Score, keys: Sequence[st
     q = len(features)
     own = [F.col(k) for k in keys]
     base = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_edges", quartile_edges(df, features).scalar())
-    base = base.withColumns({f"_b{i}": quartile_bin(F.col(f), F.col(f"_edges.{f}")) for i, f in enumerate(features)})
+    base = base.withColumns({f"_b{i}": quartile_bin(f, f"_edges.{f}") for i, f in enumerate(features)})
     base = base.withColumns({f"_x{i}": F.col(f) for i, f in enumerate(features)})
     drawn = base.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
     first = F.col("_draw") == 0  # draw 0 is the row itself
@@ -346,7 +346,7 @@ def anchor(df: DataFrame, features: Sequence[str], score: Score, row: dict[str,
         texts.append(f"{left}{f}{right}")
     flags = scored.select(
         *[c.alias(f"_f{i}") for i, c in enumerate(conditions)],
-        (bucket_of(F.col("prediction"), F.array(*[F.lit(float(c)) for c in cuts]), 4) == target).alias("_hit"),
+        (bucket_of("prediction", f"array({', '.join(f'{float(c)!r}D' for c in cuts)})", 4) == target).alias("_hit"),
     )
     kept: list[tuple[int, ...]] = [()]
     chosen, chosen_stats = (), (0.0, 0.0)

@@ -149,21 +149,19 @@ def autocorrelation(df: DataFrame, lags: int = 48, target: str = "demand", dense
         return {f"_x{k}": F.lag(x, k).over(w) for k in range(1, lags + 1)}
 
     lagged = over_history(df.select("zone", "timestamp", target), columns, back=lags, dense=dense)
-    sums = [F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss")]
+    x_text = f"CAST({target} AS DOUBLE)"
+    sums = [F.expr(f"count({x_text}) AS n"), F.expr(f"sum({x_text}) AS s"), F.expr(f"sum({x_text} * {x_text}) AS ss")]
     for k in range(1, lags + 1):
-        earlier = F.col(f"_x{k}")
         sums += [
-            F.sum(x * earlier).alias(f"xy{k}"), F.count(earlier).alias(f"n{k}"),
-            F.sum(F.when(earlier.isNotNull(), x)).alias(f"a{k}"), F.sum(earlier).alias(f"b{k}"),
+            F.expr(f"sum({x_text} * _x{k}) AS xy{k}"), F.expr(f"count(_x{k}) AS n{k}"), F.expr(f"sum(_x{k}) AS b{k}"),
+            F.expr(f"sum(CASE WHEN _x{k} IS NOT NULL THEN {x_text} END) AS a{k}"),
         ]
-    per_zone = lagged.groupBy("zone").agg(*sums)
-    mean = F.col("s") / F.col("n")
-    spread = F.col("ss") - F.col("n") * mean * mean
-    points = [F.struct(F.lit(0).cast("long").alias("lag"), F.lit(1.0).alias("acf"))]
+    per_zone = lagged.groupBy("zone").agg(*sums).withColumn("mean", F.expr("s / n"))
+    points = ["named_struct('lag', 0L, 'acf', 1.0D)"]
     for k in range(1, lags + 1):
-        cross = F.col(f"xy{k}") - mean * (F.col(f"a{k}") + F.col(f"b{k}")) + F.col(f"n{k}") * mean * mean
-        points.append(F.struct(F.lit(k).cast("long").alias("lag"), F.try_divide(cross, spread).alias("acf")))
-    return per_zone.select("zone", F.explode(F.array(*points)).alias("_p")).select("zone", "_p.lag", "_p.acf")
+        cross = f"xy{k} - mean * (a{k} + b{k}) + n{k} * mean * mean"
+        points.append(f"named_struct('lag', {k}L, 'acf', try_divide({cross}, ss - n * mean * mean))")
+    return per_zone.select("zone", F.expr(f"inline(array({', '.join(points)}))"))
 
 
 def partial_autocorrelation(acf: DataFrame) -> DataFrame:

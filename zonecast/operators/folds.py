@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -98,15 +99,20 @@ def unshuffled_kfold(n: Column, folds: int = 5) -> list[Fold]:
     return out
 
 
-def assign(df: DataFrame, folds: list[Fold]) -> DataFrame:
+Plan = Callable[[Column], list[Fold]]
+
+
+def assign(df: DataFrame, plan: Plan, n: Column | None = None) -> DataFrame:
     """One output row per fold that uses the row, with `fold` (from 1) and `role` (train or val).
 
+    `plan` gives the folds for n rows; n is the row count of `df` unless given.
     The bounds ride along as an array of at most one entry per fold and role, so
     no join is needed; unused entries are dropped before the rows are multiplied.
     """
+    counted = df.withColumn("_n", row_count(df) if n is None else n)
     row = F.col("row_id")
     entries = []
-    for i, fold in enumerate(folds, start=1):
+    for i, fold in enumerate(plan(F.col("_n")), start=1):
         in_train = F.lit(False)
         for start, end in fold.train:
             in_train = in_train | ((row >= start) & (row < end))
@@ -114,10 +120,14 @@ def assign(df: DataFrame, folds: list[Fold]) -> DataFrame:
         for role, inside in (("train", in_train), ("val", in_val)):
             label = F.struct(F.lit(i).cast("long").alias("fold"), F.lit(role).alias("role"))
             entries.append(F.when(fold.exists & inside, label))
-    spread = df.withColumn("_use", F.explode(F.array_compact(F.array(*entries))))
+    spread = counted.withColumn("_use", F.explode(F.array_compact(F.array(*entries))))
     return spread.select(*df.columns, "_use.fold", "_use.role")
 
 
+def fold_count(plan: Plan) -> int:
+    return len(plan(F.lit(0).cast("long")))
+
+
 def fold_sizes(assigned: DataFrame) -> DataFrame:
     return (
         assigned.groupBy("fold", "role")

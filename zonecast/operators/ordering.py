@@ -16,18 +16,19 @@ from pyspark.sql import functions as F
 BUCKETS = 1024
 
 
-def bucket_of(value: Column, cuts: Column, buckets: int = BUCKETS) -> Column:
-    """Number of `cuts` below `value`, by binary search over the sorted array."""
+def bucket_text(value: str, cuts: str, buckets: int = BUCKETS) -> str:
+    """SQL for the number of entries of the sorted array `cuts` below `value`, by binary search."""
     steps = []
     size = 1
     while size < buckets:
-        steps.insert(0, size)
+        steps.insert(0, str(size))
         size *= 2
+    found = f"i + s - 1 < size({cuts}) AND get({cuts}, i + s - 1) < {value}"
+    return f"aggregate(array({', '.join(steps)}), 0, (i, s) -> i + CASE WHEN {found} THEN s ELSE 0 END)"
 
-    def advance(found: Column, step: Column) -> Column:
-        return found + F.when(F.get(cuts, found + step - 1) < value, step).otherwise(0)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+def bucket_of(value: str, cuts: str, buckets: int = BUCKETS) -> Column:
+    return F.expr(bucket_text(value, cuts, buckets))
 
 
 def _cut_points(value: str, buckets: int) -> Column:
@@ -49,7 +50,7 @@ def prefix_sums(
         placed = df.join(cuts, keys)
     else:
         placed = df.withColumn("_cuts", df.agg(_cut_points(value, buckets).alias("_cuts")).scalar())
-    placed = placed.withColumn("_bucket", bucket_of(F.col(value), F.col("_cuts"), buckets)).drop("_cuts")
+    placed = placed.withColumn("_bucket", bucket_of(f"`{value}`", "_cuts", buckets)).drop("_cuts")
 
     # At most `buckets` rows per key.
     per_key = Window.partitionBy(*(keys or [F.lit(0)]))
@@ -89,23 +90,20 @@ def quantiles(
     """
     keys = list(keys)
     placed = prefix_sums(value_counts(df, value, keys), value, ["n"], keys, buckets)
-    place = [F.lit(float(p)) * (F.col("n_total") - 1) for p in shares]
 
-    def at(position: Column) -> Column:
-        covers = (position >= F.col("n_before")) & (position < F.col("n_before") + F.col("n"))
-        return F.max(F.when(covers, F.col(value).cast("double")))
+    def at(position: str, side: str) -> Column:
+        # The value whose run of equal rows covers this position.
+        covers = f"{position} >= n_before AND {position} < n_before + n"
+        return F.expr(f"max(CASE WHEN {covers} THEN CAST(`{value}` AS DOUBLE) END) AS {side}")
 
-    found = placed.groupBy(*keys).agg(
-        F.max("n_total").alias("n"),
-        *[at(F.floor(p)).alias(f"_lo{i}") for i, p in enumerate(place)],
-        *[at(F.ceil(p)).alias(f"_hi{i}") for i, p in enumerate(place)],
-    )
-    points = []
+    found, points = [F.expr("max(n_total) AS n")], []
     for i, p in enumerate(shares):
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        points.append(lo + (hi - lo) * (position - F.floor(position)))
-    return found.select(*keys, "n", F.array(*points).alias(name))
+        found.append(at(f"floor({float(p)!r}D * (n_total - 1))", f"_lo{i}"))
+        found.append(at(f"ceil({float(p)!r}D * (n_total - 1))", f"_hi{i}"))
+        position = f"{float(p)!r}D * (n - 1)"
+        points.append(f"_lo{i} + (_hi{i} - _lo{i}) * ({position} - floor({position}))")
+    picked = placed.groupBy(*keys).agg(*found)
+    return picked.select(*keys, "n", F.expr(f"array({', '.join(points)})").alias(name))
 
 
 def median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median") -> DataFrame:

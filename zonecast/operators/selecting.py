@@ -66,10 +66,10 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str = "de
     y_edges = distinct_edges(quantiles(filled, target, shares, name="_e"), "_e").scalar()
     x_edges = distinct_edges(quantiles(long_values(filled, features), "value", shares, ["feature"], "_xe"), "_xe")
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])
-    with_y = filled.withColumn("_ye", y_edges).select(bucket_of(F.col(target), F.col("_ye"), bins).alias("by"), F.explode(pairs).alias("p"))
+    with_y = filled.withColumn("_ye", y_edges).select(bucket_of(target, "_ye", bins).alias("by"), F.explode(pairs).alias("p"))
     # One row of edges per column of the frame.
     rows = with_y.select("by", "p.feature", "p.value").join(F.broadcast(x_edges), "feature")
-    cells = rows.groupBy("feature", bucket_of(F.col("value"), F.col("_xe"), bins).alias("bx"), "by").agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.groupBy("feature", bucket_of("value", "_xe", bins).alias("bx"), "by").agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("feature")
     by_x, by_y = Window.partitionBy("feature", "bx"), Window.partitionBy("feature", "by")
     total = F.sum("n").over(whole)
@@ -169,7 +169,7 @@ def draw_parameters(kind: str, chance: random.Random) -> dict:
     return drawn
 
 
-def parameter_search(indexed: DataFrame, plan: list[fd.Fold], features: Sequence[str], kind: str = "gbt_l1",
+def parameter_search(indexed: DataFrame, plan: fd.Plan, features: Sequence[str], kind: str = "gbt_l1",
                      label: str = "demand", trials: int = 20, seed: int = 42, warmup_trials: int = 10,
                      warmup_folds: int = 2, fixed: dict | None = None, most_depth: int | None = None) -> DataFrame:
     """Random search by mean fold RMSE; a trial worse than the running median stops early.
@@ -179,6 +179,7 @@ def parameter_search(indexed: DataFrame, plan: list[fd.Fold], features: Sequence
     """
     spark = indexed.sparkSession
     assigned = fd.assign(indexed, plan)
+    n_folds = fd.fold_count(plan)
     chance = random.Random(seed)
     history: list[list[float]] = []
     rows = []
@@ -189,7 +190,7 @@ def parameter_search(indexed: DataFrame, plan: list[fd.Fold], features: Sequence
         means: list[float] = []
         errors: list[float] = []
         stopped = False
-        for fold in range(1, len(plan) + 1):
+        for fold in range(1, n_folds + 1):
             train = assigned.where((F.col("fold") == fold) & (F.col("role") == "train"))
             val = assigned.where((F.col("fold") == fold) & (F.col("role") == "val"))
             scored = Booster(kind, params).fit(train, features, label).predict(val, "prediction")
@@ -197,7 +198,7 @@ def parameter_search(indexed: DataFrame, plan: list[fd.Fold], features: Sequence
             errors.append(float(scored.agg(F.sqrt(F.avg(gap * gap))).first()[0]))
             means.append(sum(errors) / len(errors))
             earlier = [h[fold - 1] for h in history if len(h) >= fold]
-            late_enough = trial >= warmup_trials and fold > warmup_folds and fold < len(plan)
+            late_enough = trial >= warmup_trials and fold > warmup_folds and fold < n_folds
             if late_enough and earlier and means[-1] > median(earlier):
                 stopped = True
                 break

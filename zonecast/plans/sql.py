@@ -173,7 +173,7 @@ def with_features(select: str) -> str:
     return f"WITH {FEATURES} {select}"
 
 
-def metrics(y: str = "demand", p: str = "pred", prefix: str = "") -> str:
+def metrics(y: str = "demand", p: str = "pred", prefix: str = "", places: int = 7) -> str:
     e = f"({y} - {p})"
     named = {
         "rmse": f"sqrt(avg({e} * {e}))",
@@ -183,7 +183,7 @@ def metrics(y: str = "demand", p: str = "pred", prefix: str = "") -> str:
         "pinball_90": f"avg(greatest(0.9 * {e}, -0.1 * {e}))",
         "max_error": f"max(abs({e}))",
     }
-    return ", ".join(f"{r(x, 4)} AS {prefix}{n}" for n, x in named.items())
+    return ", ".join(f"{r(x, places)} AS {prefix}{n}" for n, x in named.items())
 
 
 def surge(demand: str, baseline: str) -> str:
