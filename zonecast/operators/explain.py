@@ -103,37 +103,27 @@ def shapley(df: DataFrame, features: Sequence[str], score: Score, keys: Sequence
     features = list(features)
     n = len(features)
     pool = background_rows(df, features, draws, seed, keys) if background is None else background
-    own = [F.col(k) for k in keys]
     base = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_pool", pool)
     drawn = base.select(*keys, *features, F.posexplode("_pool").alias("_draw", "_other"))
-    # Place of each feature in this draw's random order: 1 + the number of features drawn before it.
-    marks = drawn.withColumns({f"_h{i}": F.xxhash64(*own, F.col("_draw"), F.lit(i), F.lit(seed)) for i in range(n)})
-    places = {
-        f"_p{i}": sum(
-            ((F.col(f"_h{j}") < F.col(f"_h{i}")) | ((F.col(f"_h{j}") == F.col(f"_h{i}")) & F.lit(j < i))).cast("int")
-            for j in range(n) if j != i
-        ) + F.lit(1)
-        for i in range(n)
-    } if n > 1 else {"_p0": F.lit(1)}
-    placed = marks.withColumns(places).drop(*[f"_h{i}" for i in range(n)])
+    # The draw's random order: feature numbers (from 1) sorted by hash; place i is feature i's position in it.
+    own_text = ", ".join(f"`{k}`" for k in keys)
+    marks = ", ".join(f"named_struct('h', xxhash64({own_text}, _draw, {i}, {seed}), 'i', {i})" for i in range(1, n + 1))
+    ordered = drawn.withColumn("_order", F.expr(f"transform(array_sort(array({marks})), e -> e.i)"))
+    placed = ordered.withColumns({f"_p{i}": F.expr(f"array_position(_order, {i})") for i in range(1, n + 1)})
     steps = placed.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(n))))
     mixed = steps.withColumns({
-        f: F.when(F.col(f"_p{i}") <= F.col("_step"), F.col(f)).otherwise(F.col(f"_other.{f}"))
-        for i, f in enumerate(features)
+        f: F.expr(f"CASE WHEN _p{i} <= _step THEN `{f}` ELSE _other.`{f}` END") for i, f in enumerate(features, start=1)
     })
-    scored = score(mixed)
-    step, value = F.col("_step"), F.col("prediction")
-    credits = []
-    for i, f in enumerate(features):
-        place = F.col(f"_p{i}")
-        share = F.when(place == step, value).when(place == step + 1, -value)
-        credits.append(F.when(share.isNotNull(), F.struct(F.lit(f).alias("feature"), share.alias("v"))))
-    credits.append(F.when(step == 0, F.struct(F.lit("__base__").alias("feature"), value.alias("v"))))
-    flat = scored.select(*keys, F.explode(F.array_compact(F.array(*credits))).alias("_c"))
+    # Between steps s - 1 and s the score changes by the feature at place s.
+    names = "array(" + ", ".join(f"'{f}'" for f in features) + ")"
+    flat = score(mixed).select(*keys, F.explode(F.array_compact(F.array(
+        F.expr(f"if(_step > 0, named_struct('feature', get({names}, _order[_step - 1] - 1), 'v', prediction), NULL)"),
+        F.expr(f"if(_step < {n}, named_struct('feature', get({names}, get(_order, _step) - 1), 'v', -prediction), NULL)"),
+        F.expr("if(_step = 0, named_struct('feature', '__base__', 'v', prediction), NULL)"),
+    ))).alias("_c"))
     # Everything of a row sits in one partition here, so this combines before its shuffle.
     sums = flat.groupBy(*keys, "_c.feature").agg(F.sum("_c.v").alias("s"))
-    rounds = F.size(pool)
-    with_rounds = sums.withColumn("_rounds", rounds)
+    with_rounds = sums.withColumn("_rounds", F.size(pool))
     whole = Window.partitionBy(*keys)
     level = F.col("s") / F.col("_rounds")
     is_base = F.col("feature") == "__base__"
@@ -208,48 +198,53 @@ def lime(df: DataFrame, features: Sequence[str], score: Score, keys: Sequence[st
     """
     features = list(features)
     q = len(features)
-    own = [F.col(k) for k in keys]
-    base = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_edges", quartile_edges(df, features).scalar())
-    base = base.withColumns({f"_b{i}": quartile_bin(f, f"_edges.{f}") for i, f in enumerate(features)})
-    base = base.withColumns({f"_x{i}": F.col(f) for i, f in enumerate(features)})
-    drawn = base.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    first = F.col("_draw") == 0  # draw 0 is the row itself
+    edges = quartile_edges(df, features).scalar()
+    own = ", ".join(f"`{k}`" for k in keys)
+    typed = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_edges", edges)
+    rows = typed.select(
+        *keys, *[F.col(f).alias(f"_x{i}") for i, f in enumerate(features)],
+        *[quartile_bin(f, f"_edges.`{f}`").alias(f"_b{i}") for i, f in enumerate(features)],
+    )
+    # The edges are added after the rows are multiplied: they are the same for all.
+    drawn = rows.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("_edges", edges)
+
+    def chance(i: int, label: str) -> str:
+        return f"(pmod(xxhash64({own}, _draw, {i}, {seed}, '{label}'), {1 << 30}L) / {float(1 << 30)!r}D)"
+
     bins, values = {}, {}
     for i, f in enumerate(features):
-        edges = F.col(f"_edges.{f}")
-        count = F.greatest(F.size(edges) - 1, F.lit(1))
-        picked = F.floor(uniform(*own, F.col("_draw"), i, seed, "bin") * count).cast("int")
-        bins[f"_d{i}"] = F.when(first, F.col(f"_b{i}")).otherwise(picked)
-        low = F.get(edges, F.col(f"_d{i}"))
-        high = F.coalesce(F.get(edges, F.col(f"_d{i}") + 1), low)
-        inside = low + (high - low) * uniform(*own, F.col("_draw"), i, seed, "value")
-        values[f] = F.when(first, F.col(f"_x{i}")).otherwise(inside)
+        e = f"_edges.`{f}`"
+        picked = f"CAST(floor({chance(i, 'bin')} * greatest(size({e}) - 1, 1)) AS INT)"
+        bins[f"_d{i}"] = F.expr(f"if(_draw = 0, _b{i}, {picked})")  # draw 0 is the row itself
+        low = f"get({e}, _d{i})"
+        inside = f"{low} + (coalesce(get({e}, _d{i} + 1), {low}) - {low}) * {chance(i, 'value')}"
+        values[f] = F.expr(f"if(_draw = 0, _x{i}, {inside})")
     scored = score(drawn.withColumns(bins).withColumns(values))
-    z = [(F.col(f"_d{i}") == F.col(f"_b{i}")).cast("double") for i in range(q)]
-    left = sum((1.0 - zi for zi in z[1:]), 1.0 - z[0])
-    weight = F.sqrt(F.exp(-left / (0.75 * 0.75 * q)))
+    left = " + ".join(f"CAST(_d{i} <> _b{i} AS DOUBLE)" for i in range(q))
     terms = scored.select(
-        *keys, *[zi.alias(f"z{i}") for i, zi in enumerate(z)], weight.alias("w"), F.col("prediction").alias("y"),
-        F.when(first, F.col("prediction")).alias("own"), *[F.col(f"_b{i}").alias(f"bin{i}") for i in range(q)],
-        F.col("_edges"),
+        *keys, *[F.expr(f"CAST(_d{i} = _b{i} AS DOUBLE)").alias(f"z{i + 1}") for i in range(q)],
+        F.expr(f"sqrt(exp(-({left}) / {0.75 * 0.75 * q!r}D))").alias("w"), F.col("prediction").alias("y"),
+        F.expr("if(_draw = 0, prediction, NULL)").alias("own"), *[f"_b{i}" for i in range(q)],
+    ).withColumn("z0", F.lit(1.0))
+    # The weighted cross products are symmetric: one triangle is summed, mirrored afterwards.
+    upper = [(i, j) for i in range(q + 1) for j in range(i, q + 1)]
+    sums = terms.groupBy(*keys).agg(
+        *[F.expr(f"sum(w * z{i} * z{j}) AS g{i}_{j}") for i, j in upper],
+        *[F.expr(f"sum(w * z{i} * y) AS c{i}") for i in range(q + 1)],
+        F.expr("sum(w * y * y) AS yy"), F.max("own").alias("prediction"), *[F.max(f"_b{i}").alias(f"_b{i}") for i in range(q)],
     )
-    design = [F.lit(1.0), *[F.col(f"z{i}") for i in range(q)]]
-    gram = [F.sum(F.col("w") * design[i] * design[j]) for i in range(q + 1) for j in range(q + 1)]
-    cross = [F.sum(F.col("w") * design[i] * F.col("y")) for i in range(q + 1)]
     conditions = []
     for i, f in enumerate(features):
-        edges, at = F.col(f"_edges.{f}"), F.col(f"bin{i}")
-        low, high = F.get(edges, at), F.get(edges, at + 1)
+        e = f"_edges.`{f}`"
+        low, high = (f"CAST(round(get({e}, _b{i} + {k}), 2) AS STRING)" for k in (0, 1))
         conditions.append(
-            F.when(F.size(edges) <= 2, F.lit(f))
-            .when(at == 0, F.concat(F.lit(f"{f} <= "), F.round(high, 2).cast("string")))
-            .when(at >= F.size(edges) - 2, F.concat(F.lit(f"{f} > "), F.round(low, 2).cast("string")))
-            .otherwise(F.concat(F.round(low, 2).cast("string"), F.lit(f" < {f} <= "), F.round(high, 2).cast("string")))
+            f"CASE WHEN size({e}) <= 2 THEN '{f}' WHEN _b{i} = 0 THEN concat('{f} <= ', {high}) "
+            f"WHEN _b{i} >= size({e}) - 2 THEN concat('{f} > ', {low}) ELSE concat({low}, ' < {f} <= ', {high}) END"
         )
-    labelled = terms.withColumn("_conditions", F.array(*conditions))
-    sums = labelled.groupBy(*keys).agg(
-        F.array(*gram).alias("gram"), F.array(*cross).alias("cross"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("yy"),
-        F.max("own").alias("prediction"), F.max("_conditions").alias("conditions"),
+    gram = [f"g{min(i, j)}_{max(i, j)}" for i in range(q + 1) for j in range(q + 1)]
+    sums = sums.withColumn("_edges", edges).select(
+        *keys, "prediction", "yy", F.array(*gram).alias("gram"), F.array(*[f"c{i}" for i in range(q + 1)]).alias("cross"),
+        F.expr(f"array({', '.join(conditions)})").alias("conditions"),
     )
 
     @F.pandas_udf("struct<intercept: double, r2: double, weights: array<double>>")
