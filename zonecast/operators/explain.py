@@ -25,6 +25,15 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.pmod(F.xxhash64(*seeded), F.lit(1 << 30)) / float(1 << 30)
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt out by key before each is multiplied into many.
+
+    The multiplied rows then use every core, and the later grouping by the same
+    keys needs no shuffle of its own.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # Partial dependence -----------------------------------------------------------
 
 
@@ -103,7 +112,7 @@ def shapley(df: DataFrame, features: Sequence[str], score: Score, keys: Sequence
     features = list(features)
     n = len(features)
     pool = background_rows(df, features, draws, seed, keys) if background is None else background
-    base = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_pool", pool)
+    base = spread(df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]), keys).withColumn("_pool", pool)
     drawn = base.select(*keys, *features, F.posexplode("_pool").alias("_draw", "_other"))
     # The draw's random order: feature numbers (from 1) sorted by hash; place i is feature i's position in it.
     own_text = ", ".join(f"`{k}`" for k in keys)
@@ -200,8 +209,8 @@ def lime(df: DataFrame, features: Sequence[str], score: Score, keys: Sequence[st
     q = len(features)
     edges = quartile_edges(df, features).scalar()
     own = ", ".join(f"`{k}`" for k in keys)
-    typed = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_edges", edges)
-    rows = typed.select(
+    typed = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features])
+    rows = spread(typed, keys).withColumn("_edges", edges).select(
         *keys, *[F.col(f).alias(f"_x{i}") for i, f in enumerate(features)],
         *[quartile_bin(f, f"_edges.`{f}`").alias(f"_b{i}") for i, f in enumerate(features)],
     )
@@ -389,7 +398,7 @@ def counterfactuals(df: DataFrame, features: Sequence[str], score: Score, desire
     ranges = typed.agg(F.struct(*[
         F.struct(F.min(f).alias("low"), F.max(f).alias("high")).alias(f) for f in allowed
     ]).alias("r")).scalar()
-    tried = typed.withColumn("_r", ranges).withColumns({f"_x{i}": F.col(f) for i, f in enumerate(features)})
+    tried = spread(typed, keys).withColumn("_r", ranges).withColumns({f"_x{i}": F.col(f) for i, f in enumerate(features)})
     tried = tried.withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
     edits = {}
     for f in allowed:
