@@ -140,8 +140,8 @@ MI_SQL = f"""WITH {xp.INPUT}, long AS {q.unpivot('x', NAMES)},
 xe AS (SELECT feature, list_distinct(quantile_cont(value, [{NINTHS}])) AS e FROM long GROUP BY feature),
 ye AS (SELECT list_distinct(quantile_cont(demand, [{NINTHS}])) AS e FROM x),
 binned AS ({' UNION ALL '.join(f"SELECT '{n}' AS feature, {_bins(f'CAST({n} AS DOUBLE)', 'xe.e')} AS bx, {_bins('demand', 'ye.e')} AS b_y FROM x, xe, ye WHERE xe.feature = '{n}'" for n in NAMES)}),
-cells AS (SELECT feature, bx, b_y, count(*) AS n FROM binned GROUP BY feature, bx, b_y),
-sized AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bx) AS nx, sum(n) OVER (PARTITION BY feature, b_y) AS ny FROM cells),
+mi_cells AS (SELECT feature, bx, b_y, count(*) AS n FROM binned GROUP BY feature, bx, b_y),
+sized AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bx) AS nx, sum(n) OVER (PARTITION BY feature, b_y) AS ny FROM mi_cells),
 mi AS (SELECT feature, greatest(sum(n / t * ln(n * t / (nx * ny))), 0.0) AS mi FROM sized GROUP BY feature)"""
 
 
