@@ -55,20 +55,22 @@ def test_online_upsert_keeps_the_newest(spark, tmp_path):
     assert store.read("1", "other", now).count() == 0
 
 
-def test_online_write_of_a_version_can_be_repeated(spark, tmp_path):
-    store = online.OnlineStore(spark, str(tmp_path / "on"))
-    store.write(entry(spark, "1", "a", "2024-01-01 10:00:00"), version=0)
-    for _ in range(2):
-        store.write(entry(spark, "1", "b", "2024-01-01 11:00:00"), version=1)
-    assert store.versions() == [0, 1]
-    assert [r["features"]["x"] for r in store.entries().collect()] == ["b"]
+def test_repeated_write_changes_nothing_and_old_versions_go(spark, tmp_path):
+    store = online.OnlineStore(spark, str(tmp_path / "on"), keep_versions=2)
+    store.write(entry(spark, "1", "a", "2024-01-01 10:00:00"))
+    for _ in range(3):
+        store.write(entry(spark, "1", "b", "2024-01-01 11:00:00"))
+        assert [r["features"]["x"] for r in store.entries().collect()] == ["b"]
+    assert store.versions() == [2, 3]
 
 
 def test_unfinished_version_is_not_read(spark, tmp_path):
     store = online.OnlineStore(spark, str(tmp_path / "on"))
     store.write(entry(spark, "1", "a", "2024-01-01 10:00:00"))
-    (tmp_path / "on" / "v000000000007").mkdir()
+    (tmp_path / "on" / "v000000000001").mkdir()
     assert store.versions() == [0]
+    store.write(entry(spark, "1", "b", "2024-01-01 11:00:00"))
+    assert store.versions() == [0, 1] and store.entries().first()["features"] == {"x": "b"}
 
 
 def test_stream_defaults(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonecast import fixed_values as fv
+from zonecast.session import shared_dir
 
 Score = Callable[[DataFrame], DataFrame]
 
@@ -71,6 +72,7 @@ class Booster:
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str = "demand",
             validation: str | None = None) -> "Booster":
+        shared_dir(df.sparkSession)  # long boosting runs cut their lineage there
         self.features = list(features)
         texts = [c for c in features if isinstance(df.schema[c].dataType, T.StringType)]
         if texts and self.kind != "gbt_categorical":

@@ -42,9 +42,12 @@ def prefix_sums(
     """Add `<m>_before` and `<m>_total` for each measure.
 
     `df` holds one row per (keys, value). `<m>_before` sums the measure over the
-    smaller values with the same keys, `<m>_total` over all of them.
+    smaller values with the same keys, `<m>_total` over all of them. Rows without
+    a value or a key are left out; stating that first makes all readers of `df`
+    below alike, so its shuffle is made once and reused.
     """
     keys = list(keys)
+    df = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, value]))
     if keys:
         cuts = df.groupBy(*keys).agg(_cut_points(value, buckets).alias("_cuts"))
         placed = df.join(cuts, keys)
@@ -115,14 +118,15 @@ def row_positions(df: DataFrame, order: str, keys: Sequence[str] = (), ties: Seq
     """0-based position of each row among the rows of its keys, by `order` then `ties`.
 
     Rows that share keys and `order` are numbered within that small set, so
-    `ties` must tell them apart for a repeatable result.
+    `ties` must tell them apart for a repeatable result. Rows without a key or
+    order value are kept and get no position.
     """
     keys = list(keys)
     counts = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("n"))
     starts = prefix_sums(counts, order, ["n"], keys).select(*keys, order, F.col("n_before").alias("_start"))
     within = Window.partitionBy(*keys, order).orderBy(*(ties or [order]))
     return (
-        df.join(starts, [*keys, order])
+        df.join(starts, [*keys, order], "left")
         .withColumn(name, (F.col("_start") + F.row_number().over(within) - 1).cast("long"))
         .drop("_start")
     )

@@ -143,7 +143,7 @@ def sink_stream_latest(spark: SparkSession, folder: str) -> DataFrame:
     """The batch writer on one batch of windows."""
     store = OnlineStore(spark, new_dir(spark, "live-online"), live.STREAM_TTL)
     parsed = live.parse(live.as_messages(tables.events(spark, folder)), watermark=None)
-    store.write(live.window_entries(live.five_minute_windows(parsed)), version=0)
+    store.write(live.window_entries(live.five_minute_windows(parsed)))
     return flat(store.entries())
 
 

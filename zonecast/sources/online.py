@@ -1,8 +1,10 @@
 """Online feature snapshot: newest features per (zone, group), valid for a while.
 
 Each write makes a complete new version folder; readers take the newest version
-that finished. A failed write leaves no success mark and is never read, and a
-repeated write of the same version replaces itself.
+that finished. A failed write leaves no success mark, is never read, and its
+folder is used by the next write. Repeating a write changes nothing, because the
+newest entry per key wins. One writer at a time; the last few versions stay for
+readers that are still on them.
 """
 
 from __future__ import annotations
@@ -43,22 +45,25 @@ def as_entries(features: DataFrame, group: str, updated_at: Column) -> DataFrame
 
 
 class OnlineStore:
-    def __init__(self, spark: SparkSession, path: str, ttl_seconds: int = fv.ONLINE_TTL_SECONDS):
+    def __init__(self, spark: SparkSession, path: str, ttl_seconds: int = fv.ONLINE_TTL_SECONDS, keep_versions: int = 8):
         self.spark = spark
         self.path = path.rstrip("/")
         self.ttl = ttl_seconds
+        self.keep = keep_versions
+
+    def _folder(self):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
 
     def versions(self) -> list[int]:
         """Finished versions, oldest first."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, folder = self._folder()
         if not fs.exists(folder):
             return []
         done = []
         for status in fs.listStatus(folder):
             entry = status.getPath()
-            if entry.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(entry, "_SUCCESS")):
+            if entry.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(entry, "_SUCCESS")):
                 done.append(int(entry.getName()[1:]))
         return sorted(done)
 
@@ -70,22 +75,21 @@ class OnlineStore:
         done = self.versions()
         return self._version(done[-1]) if done else self.spark.createDataFrame([], ONLINE)
 
-    def write(self, entries: DataFrame, version: int | None = None) -> None:
-        """Upsert: per (zone, group) the newest entry stays, the new one on a tie.
-
-        `version` makes a write repeatable (a stream passes its batch id).
-        """
+    def write(self, entries: DataFrame) -> None:
+        """Upsert: per (zone, group) the newest entry stays, the new one on a tie."""
         done = self.versions()
-        number = (done[-1] + 1 if done else 0) if version is None else version
-        older = [v for v in done if v < number]
+        number = done[-1] + 1 if done else 0
         merged = entries.select(*ONLINE.names).withColumn("_new", F.lit(1))
-        if older:
-            merged = merged.unionByName(self._version(older[-1]).withColumn("_new", F.lit(0)))
+        if done:
+            merged = merged.unionByName(self._version(done[-1]).withColumn("_new", F.lit(0)))
         newest = merged.groupBy("zone", "feature_group").agg(
             F.max_by(F.struct("features", "updated_at"), F.struct("updated_at", "_new")).alias("e")
         )
         out = newest.select("zone", "feature_group", "e.features", "e.updated_at")
         out.write.mode("overwrite").parquet(f"{self.path}/v{number:012d}")
+        fs, folder = self._folder()
+        for old in done[: max(len(done) + 1 - self.keep, 0)]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"v{old:012d}"), True)
 
     def push(self, zone: str, features: dict[str, object], now: Column | None = None, group: str = GROUP) -> None:
         """Write the features of one zone."""
