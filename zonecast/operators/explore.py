@@ -157,10 +157,12 @@ def autocorrelation(df: DataFrame, lags: int = 48, target: str = "demand", dense
             F.expr(f"sum(CASE WHEN _x{k} IS NOT NULL THEN {x_text} END) AS a{k}"),
         ]
     per_zone = lagged.groupBy("zone").agg(*sums).withColumn("mean", F.expr("s / n"))
-    points = ["named_struct('lag', 0L, 'acf', 1.0D)"]
+    spread = "(ss - n * mean * mean)"
+    # A constant series has no autocorrelation, not even at lag 0.
+    points = [f"named_struct('lag', 0L, 'acf', try_divide({spread}, {spread}))"]
     for k in range(1, lags + 1):
         cross = f"xy{k} - mean * (a{k} + b{k}) + n{k} * mean * mean"
-        points.append(f"named_struct('lag', {k}L, 'acf', try_divide({cross}, ss - n * mean * mean))")
+        points.append(f"named_struct('lag', {k}L, 'acf', try_divide({cross}, {spread}))")
     return per_zone.select("zone", F.expr(f"inline(array({', '.join(points)}))"))
 
 
