@@ -127,10 +127,10 @@ def predict_batch(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("clamp_nonnegative", f"WITH {REQUESTS_SQL} SELECT timestamp, panel_zone, {q.r(f'greatest({MODEL_SQL}, 0.0)', 9)} AS prediction FROM valid")
+@query("clamp_nonnegative", f"WITH {REQUESTS_SQL} SELECT timestamp, panel_zone, {q.r(f'greatest({MODEL_SQL}, 0.0)', 12)} AS prediction FROM valid")
 def clamp_nonnegative(spark: SparkSession, folder: str) -> DataFrame:
     scored = MODEL(valid_features(spark, folder))
-    return scored.select("timestamp", "panel_zone", rounded(F.greatest("prediction", F.lit(0.0)), 9).alias("prediction"))
+    return scored.select("timestamp", "panel_zone", rounded(F.greatest("prediction", F.lit(0.0)), 12).alias("prediction"))
 
 
 DISTINCT = ", ".join(FEATURES.values())
