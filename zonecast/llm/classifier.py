@@ -35,7 +35,7 @@ from zonecast.session import checkpointed
 BUCKETS = 1 << 17
 SAMPLE = 20_000
 LEAST = 0.003
-MOST = 0.2
+MOST = 0.4
 STEPS = 40
 RATE = 0.2
 DECAY = 2e-3
