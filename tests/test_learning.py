@@ -72,7 +72,7 @@ def test_simplex_weights_beat_a_grid():
 
 
 def test_stacking_weights_equal_ridge(spark, data):
-    model = en.Stacking([mo.Booster("gbt_l1", SMALL), mo.Booster("gbt_alt", SMALL)], alpha=1.0, n_folds=2).fit(data, FEATURES)
+    model = en.Stacking([mo.Booster("gbt_l1", SMALL), mo.Booster("gbt_alt", SMALL)], alpha=1.0, n_folds=2, mode="kfold").fit(data, FEATURES)
     oof = en.out_of_fold(model.models, fd.assign(data, lambda n: fd.unshuffled_kfold(n, 2)), 2, FEATURES).toPandas()
     x, y = oof[["pred_0", "pred_1"]].to_numpy(), oof.demand.to_numpy()
     xc, yc = x - x.mean(0), y - y.mean()
@@ -193,8 +193,12 @@ def test_anchor_numbers_hold_on_the_data(data):
 
 def test_counterfactuals_land_in_the_range(data):
     out = ex.counterfactuals(data, FEATURES, FORMULA, (15.0, 20.0), n=2, vary=["a"], tries=20).collect()
-    assert out and all(14.95 <= r["cf_prediction"] <= 20.05 and set(r["changes"]) <= {"a"} for r in out)
-    assert all(r["rank"] <= 2 and r["n_changes"] == len(r["changes"]) for r in out)
+    found = [r for r in out if r["status"] == "found"]
+    assert found and all(14.95 <= r["cf_prediction"] <= 20.05 and set(r["changes"]) <= {"a"} for r in found)
+    assert all(1 <= r["rank"] <= 2 and r["n_changes"] == len(r["changes"]) for r in found)
+    # Every input is in the result, found or not.
+    keys = {(r["timestamp"], r["zone"]) for r in out}
+    assert len(keys) == data.count() and all(r["rank"] == 0 and r["changes"] is None for r in out if r["status"] == "none")
 
 
 def test_agreement(spark):

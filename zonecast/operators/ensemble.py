@@ -49,7 +49,7 @@ class Stacking:
     "walk_forward" (each fold trains on earlier rows only).
     """
 
-    def __init__(self, models: Sequence[Booster], alpha: float = 1.0, n_folds: int = 5, mode: str = "kfold",
+    def __init__(self, models: Sequence[Booster], alpha: float = 1.0, n_folds: int = 5, mode: str = "walk_forward",
                  **fold_options: int):
         self.models, self.alpha, self.n_folds, self.mode = list(models), alpha, n_folds, mode
         self.fold_options = fold_options

@@ -387,6 +387,9 @@ def counterfactuals(df: DataFrame, features: Sequence[str], score: Score, desire
                     tries: int = 40, seed: int = 42) -> DataFrame:
     """Up to n changed copies of each row whose prediction falls into `desired`.
 
+    `status` is "found"; a row for which no try succeeds comes out once, as
+    "none" with rank 0 and null changes, so every input is in the result.
+
     A try changes a random subset of the allowed features to values between the
     feature's smallest and largest. Fewest changes come first, then the smallest
     change relative to the ranges.
@@ -424,4 +427,9 @@ def counterfactuals(df: DataFrame, features: Sequence[str], score: Score, desire
     )
     order = Window.partitionBy(*keys).orderBy("n_changes", "distance", "_try")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
-    return ranked.select(*keys, "rank", F.round("cf_prediction", 1).alias("cf_prediction"), "n_changes", "changes")
+    found = ranked.select(
+        *keys, "rank", F.round("cf_prediction", 1).alias("cf_prediction"), "n_changes", "changes", F.lit("found").alias("status"))
+    missed = df.select(*keys).join(found.where("rank = 1").select(*keys), list(keys), "left_anti").select(
+        *keys, F.lit(0).cast("long").alias("rank"), F.lit(None).cast("double").alias("cf_prediction"), F.lit(None).cast("long").alias("n_changes"),
+        F.lit(None).cast("map<string,string>").alias("changes"), F.lit("none").alias("status"))
+    return found.unionByName(missed)

@@ -117,8 +117,14 @@ def adjusted_skewness(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 
 def target_correlation(df: DataFrame, features: Sequence[str], target: str = "demand") -> DataFrame:
-    """Absolute Pearson correlation of each feature with the target, strongest first."""
-    one_row = df.agg(*[F.abs(F.corr(F.col(f).cast("double"), F.col(target).cast("double"))).alias(f) for f in features])
+    """Absolute Pearson correlation of each feature with the target, strongest first; null for a constant feature."""
+    y = F.col(target).cast("double")
+
+    def strength(f: str) -> Column:
+        x = F.col(f).cast("double")
+        return F.when(F.min(x) < F.max(x), F.abs(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))))
+
+    one_row = df.agg(*[strength(f).alias(f) for f in features])
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("abs_corr")) for f in features])
     return one_row.select(F.explode(pairs).alias("_p")).select("_p.feature", "_p.abs_corr").orderBy(
         F.desc_nulls_last("abs_corr"), "feature"

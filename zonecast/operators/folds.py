@@ -54,8 +54,7 @@ def walk_forward(n: Column, folds: int = 5, gap: int = 24, val_size: int | None
     least = val * 2 if min_train is None else F.lit(min_train)
     need = least + gap + val * folds
     message = F.concat(
-        F.lit(f"Not enough data for {folds} folds. Need at least "), need.cast("string"), F.lit(" rows, got "),
-        n.cast("string"), F.lit("."),
+        F.lit(f"{folds} walk-forward folds take "), need.cast("string"), F.lit(" rows or more; there are "), n.cast("string"),
     )
     spare = F.when(n < need, F.raise_error(message).cast("long")).otherwise(n - need)
     out = []

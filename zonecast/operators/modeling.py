@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,7 @@ BOOSTERS = {
     "gbt_alt": {"maxIter": 1000, "maxDepth": 7, "minInstancesPerNode": 10, "featureSubsetStrategy": "0.8"},
     "gbt_categorical": {"maxIter": 1000, "maxDepth": 8, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"},
 }
+BINS = 64
 COMMON = {"lossType": "absolute", "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
 
 
@@ -55,8 +56,8 @@ COMMON = {"lossType": "absolute", "stepSize": 0.05, "subsamplingRate": 0.8, "see
 class Booster:
     """A gradient-boosted tree model on named columns.
 
-    `kind` picks the settings. The categorical kind indexes text columns and
-    treats columns with few values as categories; the others take numbers only.
+    `kind` picks the settings. The categorical kind indexes text columns as
+    categories, however many values they have; the others take numbers only.
     With `validation`, a boolean column, boosting stops once those rows no longer
     improve. Null features must be filled or dropped before.
     """
@@ -83,23 +84,27 @@ class Booster:
             codes = [f"{c}_code" for c in texts]
             stages.append(StringIndexer(inputCols=texts, outputCols=codes, handleInvalid="keep"))
             inputs += codes
-        raw = "raw_features" if self.kind == "gbt_categorical" else "features"
-        stages.append(VectorAssembler(inputCols=inputs, outputCol=raw))
-        if self.kind == "gbt_categorical":
-            stages.append(VectorIndexer(inputCol=raw, outputCol="features", maxCategories=32, handleInvalid="keep"))
+        stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
         settings = {**COMMON, **BOOSTERS[self.kind], **self.params}
         if validation:
             settings["validationIndicatorCol"] = validation
-        gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", maxBins=64, **settings)
+        gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", **settings)
         keep = [c for c in (label, validation) if c]
         rows = df.select(*features, *[c for c in keep if c not in features])
+        if texts:
+            # The indexer marks its columns as categories; a bin for each of them, and one for values never seen.
+            stages[0] = stages[0].fit(rows)
+            most = max(len(labels) for labels in stages[0].labelsArray) + 1
+            gbt.setMaxBins(max(BINS, most, settings.get("maxBins", BINS)))
+        elif "maxBins" not in settings:
+            gbt.setMaxBins(BINS)
         self.model = Pipeline(stages=[*stages, gbt]).fit(rows)
         self.inputs = inputs
         return self
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """Add the prediction, never below 0."""
-        extra = {"raw_features", "features", "rawPrediction", "prediction"} | {f"{c}_code" for c in self.features}
+        extra = {"features", "rawPrediction", "prediction"} | {f"{c}_code" for c in self.features}
         scored = self.model.transform(df)
         value = F.greatest(F.col("prediction"), F.lit(0.0))
         return scored.withColumn("_value", value).drop(*(extra - set(df.columns))).withColumnRenamed("_value", out)
@@ -115,7 +120,8 @@ class Booster:
 
     @classmethod
     def load(cls, path: str, kind: str, features: Sequence[str]) -> "Booster":
-        return cls(kind, model=PipelineModel.load(path), features=list(features))
+        model = PipelineModel.load(path)
+        return cls(kind, model=model, features=list(features), inputs=list(model.stages[-2].getInputCols()))
 
 
 @dataclass

@@ -35,6 +35,17 @@ def zone_of(user_id: Column) -> Column:
     return (user_id % 20 + 1).cast("string")
 
 
+def rejected() -> Column:
+    """Why an event has no place in the panel: `no zone`, `unknown zone` or `no time`; null for all others."""
+    zone = zone_of(F.col("user_id"))
+    return F.when(F.col("user_id").isNull(), "no zone").when(~zone.isin(*fv.ZONE_CENTRES), "unknown zone").when(F.col("ts").isNull(), "no time")
+
+
+def rejected_events(events: DataFrame) -> DataFrame:
+    """How many events the panel leaves out, by reason."""
+    return events.select(rejected().alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def hourly_demand(events: DataFrame) -> DataFrame:
     """Events combined to one row per hour and zone.
 
@@ -53,8 +64,8 @@ def hourly_demand(events: DataFrame) -> DataFrame:
             F.count("value").alias("value_count"),
             F.min("value").alias("low"),
             F.max("value").alias("high"),
-            F.min("ts").alias("first_ts"),
-            F.min_by("code", "ts").alias("code"),
+            # The earliest time with its code in one number: a tie goes to the smaller code, and hashing stays possible.
+            F.min(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") * 8 + F.col("code")).alias("first"),
             F.bool_or((F.col("event_type") == "purchase") & (F.col("value") >= 150)).alias("promo"),
         )
     )
@@ -67,12 +78,12 @@ def demand_panel(spark: SparkSession, events: DataFrame) -> DataFrame:
     in a century), holding the demand of its zones as a map; hours without events
     are filled from the gap to the next hour.
     """
-    by_hour = hourly_demand(events).groupBy("timestamp").agg(
+    by_hour = hourly_demand(events.where(rejected().isNull())).groupBy("timestamp").agg(
         F.map_from_entries(F.collect_list(F.struct("zone", "demand"))).alias("demands"),
         (F.sum("value_sum") / F.sum("value_count")).alias("mean_value"),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
-        F.min_by("code", "first_ts").alias("code"),
+        F.pmod(F.min("first"), F.lit(8)).cast("int").alias("code"),
         F.bool_or("promo").alias("promo"),
     )
     hour = F.expr("interval 1 hour")
@@ -98,7 +109,8 @@ def demand_panel(spark: SparkSession, events: DataFrame) -> DataFrame:
         F.struct(F.lit(z).alias("zone"), F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
         for z, (lat, lon) in fv.ZONE_CENTRES.items()
     ])
-    cells = hours.withColumn("_zone", F.explode(zones))
+    # The hours were put in order in one task; the zones of each are made in many.
+    cells = hours.repartition("timestamp").withColumn("_zone", F.explode(zones))
     demand = F.coalesce(F.element_at("demands", F.col("_zone.zone")), F.lit(0)).cast("long")
     return cells.select(
         "timestamp", F.col("_zone.zone").alias("zone"), demand.alias("demand"), "weather", "temperature_c",

@@ -143,7 +143,7 @@ def predict_with_reuse(features: DataFrame, score: Callable[[DataFrame], DataFra
 
 def reuse_rate(features: DataFrame) -> DataFrame:
     """Share of requests that an earlier equal request could answer."""
-    keyed = features.groupBy(request_key().alias("request_key")).agg(F.count(F.lit(1)).alias("n"))
+    keyed = features.groupBy(_digest(REQUEST_FEATURES).alias("_digest")).agg(F.count(F.lit(1)).alias("n"))
     total, misses = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))
     return keyed.agg((total - misses).alias("hits"), misses.alias("misses")).select(
         "hits", "misses", F.round(F.col("hits") / F.greatest(F.col("hits") + F.col("misses"), F.lit(1)), 4).alias("hit_rate")

@@ -155,10 +155,12 @@ SEARCH_SPACE = {
 }
 
 
-def draw_parameters(kind: str, chance: random.Random) -> dict:
-    """One random setting from the search space."""
+def draw_parameters(kind: str, chance: random.Random, most_depth: int | None = None) -> dict:
+    """One random setting from the search space; `most_depth` is the upper end of the depths."""
     drawn: dict = {}
     for name, (low, high, log) in SEARCH_SPACE[kind].items():
+        if name == "maxDepth" and most_depth:
+            low, high = min(low, most_depth), min(high, most_depth)
         if isinstance(low, int):
             drawn[name] = chance.randint(low, high)
         elif log:
@@ -184,9 +186,7 @@ def parameter_search(indexed: DataFrame, plan: fd.Plan, features: Sequence[str],
     history: list[list[float]] = []
     rows = []
     for trial in range(trials):
-        params = {**draw_parameters(kind, chance), **(fixed or {})}
-        if most_depth:
-            params["maxDepth"] = min(params["maxDepth"], most_depth)
+        params = {**draw_parameters(kind, chance, most_depth), **(fixed or {})}
         means: list[float] = []
         errors: list[float] = []
         stopped = False

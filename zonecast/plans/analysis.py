@@ -518,17 +518,14 @@ def skewness(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(eda.adjusted_skewness(rides(spark, folder), {"demand_skew": F.col("demand"), "log_skew": F.log1p("demand")}))
 
 
-CORRELATED = [f for f in q.ALL_FEATURES if f not in ("quarter", "month", "is_holiday")]
-
-
 def _correlations(names: list[str]) -> str:
-    return q.with_features(" UNION ALL ".join(f"SELECT '{n}' AS feature, {q.r(f'abs(corr({n}, demand))')} AS abs_corr FROM features" for n in names))
+    return q.with_features(" UNION ALL ".join(f"SELECT '{n}' AS feature, CASE WHEN min({n}) < max({n}) THEN {q.r(f'abs(corr({n}, demand))')} END AS abs_corr FROM features" for n in names))
 
 
-@query("target_correlation", _correlations(CORRELATED))
+@query("target_correlation", _correlations(q.ALL_FEATURES))
 def target_correlation(spark: SparkSession, folder: str) -> DataFrame:
-    """Every feature that varies within the month of data."""
-    return tidy(eda.target_correlation(all_features(spark, folder), CORRELATED))
+    """Every feature; one that is constant in the data has none."""
+    return tidy(eda.target_correlation(all_features(spark, folder), q.ALL_FEATURES))
 
 
 @query("lag_correlation", _correlations(list(q.lags())))

@@ -91,7 +91,7 @@ def stacking(spark: SparkSession, folder: str) -> DataFrame:
 @query("stack_weights")
 def stack_weights(spark: SparkSession, folder: str) -> DataFrame:
     train = checkpointed(spark, fd.row_index(table(spark, folder).where("part = 'train'").drop("row_id")))
-    return en.Stacking(bases(), n_folds=2).fit(train, NAMES).weights(spark)
+    return en.Stacking(bases(), n_folds=2, mode="kfold").fit(train, NAMES).weights(spark)
 
 
 @query("weighted_blend")
@@ -194,7 +194,7 @@ def shuffle_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 TINY = tr.Settings(
-    booster={"maxIter": 3, "maxDepth": 3, "stepSize": 0.3}, stack_folds=2, attribution_rows=200, top_attribution=12, top_information=12, least_features=6,
+    booster={"maxIter": 3, "maxDepth": 3, "stepSize": 0.3}, stack_folds=2, top_attribution=12, top_information=12, least_features=6,
     kinds=("gbt_l1", "gbt_alt"),
 )
 

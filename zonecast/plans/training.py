@@ -22,9 +22,10 @@ from zonecast.operators import temporal as tp
 from zonecast.session import checkpointed
 
 
-def build_features(spark: SparkSession, panel: DataFrame, lagged: bool = True, dense: bool = True) -> DataFrame:
+def build_features(spark: SparkSession, panel: DataFrame, lagged: bool = True, dense: bool = False) -> DataFrame:
     """All 71 features. With `lagged`, velocity, share, rank and neighbour demand use the hour
-    before, so no feature knows the target's own hour."""
+    before, so no feature knows the target's own hour. State `dense` only of a
+    panel that has every hour of every zone."""
     temporal = tp.add_temporal(panel, dense=dense, lagged=lagged)
     return geo.add_geo(spark, temporal, "demand_lag_1h" if lagged else "demand")
 
@@ -35,7 +36,6 @@ class Settings:
 
     booster: dict = field(default_factory=dict)
     stack_folds: int = 3
-    attribution_rows: int = 3000
     attribution_draws: int = 2
     top_attribution: int = 40
     top_information: int = 40
@@ -45,6 +45,7 @@ class Settings:
     boruta_trees: int = 100
     search_trials: int = 0
     search_folds: int = 3
+    gap_rows: int = 480
     kinds: Sequence[str] = ("gbt_l1", "gbt_alt", "gbt_categorical")
 
 
@@ -72,12 +73,11 @@ def train_all(spark: SparkSession, features: DataFrame, settings: Settings | Non
 
     # Selection: attribution of a quick booster, mutual information, and maybe the shadow test.
     quick = mo.Booster("gbt_l1", {"maxIter": 20, "stepSize": 0.1, **s.booster}).fit(train, names)
-    sample = se.sample_rows(train, s.attribution_rows)
-    attribution = checkpointed(spark, ex.global_importance(ex.shapley(sample, names, quick.predict, draws=s.attribution_draws)))
+    attribution = checkpointed(spark, ex.global_importance(ex.shapley(train, names, quick.predict, draws=s.attribution_draws)))
     information = checkpointed(spark, se.mutual_information(train, names))
     confirmed = None
     if s.use_boruta:
-        confirmed = se.boruta(se.sample_rows(train, 5000), names, trials=s.boruta_trials, trees=s.boruta_trees)
+        confirmed = se.boruta(train, names, trials=s.boruta_trials, trees=s.boruta_trees)
     selection = checkpointed(spark, se.select_features(
         attribution, information, confirmed, s.top_attribution, s.top_information, s.least_features
     ))
@@ -89,10 +89,18 @@ def train_all(spark: SparkSession, features: DataFrame, settings: Settings | Non
     train, val, test = (narrow.where(F.col("part") == part) for part in ("train", "val", "test"))
     fit_rows = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
 
+    ordered = checkpointed(spark, fd.row_index(train.drop("row_id")))
+    n_rows = ordered.count()
+
+    def forward(folds: int) -> dict:
+        """Expanding folds in equal steps, the first after two of them, with a gap before each."""
+        step = max(1, (n_rows - s.gap_rows) // (folds + 2))
+        return {"gap": s.gap_rows, "val_size": step, "min_train": step}
+
     tuned: dict = {}
     if s.search_trials:
         trials = se.parameter_search(
-            fd.row_index(train.drop("row_id")), lambda n: fd.unshuffled_kfold(n, s.search_folds), chosen, trials=s.search_trials, fixed=s.booster
+            ordered, lambda n: fd.walk_forward(n, s.search_folds, **forward(s.search_folds)), chosen, trials=s.search_trials, fixed=s.booster
         )
         import json
 
@@ -103,7 +111,7 @@ def train_all(spark: SparkSession, features: DataFrame, settings: Settings | Non
         params = {**s.booster, **(tuned if kind == "gbt_l1" else {})}
         models[kind] = mo.Booster(kind, params).fit(fit_rows, chosen, validation="is_val")
     bases = list(models.values())
-    models["stacking"] = en.Stacking(bases, n_folds=s.stack_folds).fit(fd.row_index(train.drop("row_id")), chosen)
+    models["stacking"] = en.Stacking(bases, n_folds=s.stack_folds, **forward(s.stack_folds)).fit(ordered, chosen)
     models["blending"] = en.Blending(bases).fit(train, val, chosen, fitted=bases)
     models["voting"] = en.Voting(bases).fit(train, chosen, fitted=bases)
 
@@ -127,20 +135,26 @@ def train_all(spark: SparkSession, features: DataFrame, settings: Settings | Non
         calibration=cal.compare_calibrators(on_val),
         revenue=ev.revenue_backtest(scored.withColumnRenamed(f"by_{best}", "pred")),
         importance=ex.global_importance(
-            ex.shapley(se.sample_rows(test, min(s.attribution_rows, 2000)), chosen, models[best].predict, draws=s.attribution_draws)
+            ex.shapley(test, chosen, models[best].predict, draws=s.attribution_draws)
         ),
     )
 
 
+def merge(history: DataFrame, recent: DataFrame) -> DataFrame:
+    """`history` with its rows of the same (timestamp, zone) replaced by those of `recent`."""
+    return history.join(recent.select("timestamp", "zone").distinct(), ["timestamp", "zone"], "left_anti").unionByName(recent)
+
+
 def retrain(spark: SparkSession, history: DataFrame, recent: DataFrame, versions: str, reference: DataFrame | None = None,
             settings: Settings | None = None) -> DataFrame:
     """Replace the hours that `recent` covers, rebuild features, check drift, train if needed, promote if better.
 
     `versions` is the model-version table: each promotion appends one row (model,
     mape, promoted_at); its newest row is the champion. Returns one summary row.
+    Only the (timestamp, zone) rows that `recent` brings are replaced: a late
+    delivery of an old week leaves all other history as it is.
     """
-    first = recent.agg(F.min("timestamp").alias("t")).scalar()
-    panel = history.where(F.col("timestamp") < first).unionByName(recent)
+    panel = merge(history, recent)
     features = checkpointed(spark, build_features(spark, panel))
     names = mo.feature_columns(features)
     drifted, alert = 0, True
