@@ -16,11 +16,17 @@ shingles. The result is each document's component under these links.
    and skips the others. Pairs must meet in as many prefix shingles as the needed
    overlap leaves over (`need`), which is checked before any set is fetched.
 4. Sets of one list are first compared with a hub only (the list's smallest by
-   hash, in a few draws). A set verified as similar to its hub takes over the
-   hub's answers: it joins the hub's class, and pairs within a class are never
-   formed. In a list, only sets outside the list's largest class visit it, so a
-   list of one class costs nothing. What is left are the differences: pairs of
-   sets of different classes, which are verified one by one.
+   hash, in a few draws). Of each set the overlap with its hub is kept, and what
+   it has beyond the hub (`added`) and lacks of it (`gone`). A set linked with its
+   hub takes over the hub's answers: it joins the hub's class, and pairs within a
+   class are never formed.
+5. Answers of other sets of the hub follow from these differences: two sets with
+   no added shingle in common differ in at least added + added + |gone - gone|
+   shingles. Where that is too much, they can link only through a common added
+   shingle, so they are looked up in lists of the hub's added shingles, which are
+   short, and skipped in the long lists of what all have.
+6. In a list, only sets outside the list's largest class visit it, so a list of
+   one class costs nothing. The pairs left are verified one by one.
 
 A null text, or one without words, has an empty set: size 0, linked with
 nothing. A text shorter than a shingle has one shingle, the whole of it. Of rows
@@ -43,6 +49,8 @@ from zonecast.session import checkpointed
 
 SKETCH = 1 << 20
 DRAWS = 2
+#: Lists longer than that have blocks by size.
+BLOCKED = 64
 #: Ids of sets to fetch are broadcast up to this number, of one long each.
 BROADCAST_IDS = 500_000
 
@@ -209,29 +217,34 @@ def fetch(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataF
     return kept.mapInArrow(run, "id bigint, digest binary, items binary").groupBy("id").agg(F.min_by("items", "digest").alias("items"))
 
 
-def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; `pairs` is stored."""
+def compared(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, linked, added, gone, extra) of stored pairs (a, b): what a has beyond b, their numbers, and the shingles themselves."""
     ids = checkpointed(spark, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = checkpointed(spark, fetch(spark, docs, ids, k))
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            keep = []
+            out = {"linked": [], "added": [], "gone": [], "extra": []}
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+                own = np.setdiff1d(x, y, assume_unique=True)
+                same = len(x) - len(own)
+                out["linked"].append(100 * same >= percent * (len(x) + len(y) - same))
+                out["added"].append(len(own))
+                out["gone"].append(len(y) - same)
+                # Of sets further apart than that, no difference is of use.
+                out["extra"].append(own.view(np.int64) if 2 * len(own) < len(x) else own[:0].view(np.int64))
+            kinds = {"linked": pa.bool_(), "added": pa.int32(), "gone": pa.int32(), "extra": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(out[c], t) for c, t in kinds.items())], ["a", "b", *kinds])
 
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean, added int, gone int, extra array<bigint>")
 
 
 def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each set, the hub it meets most often, once per draw.
+    """(a, b): for each set a, the hub b it meets most often, once per draw.
 
     A list's hub is the set with the smallest hash of the draw among those of
     about its size. Incomplete on purpose; the differences follow.
@@ -244,34 +257,68 @@ def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
             F.min(F.struct(F.xxhash64("id", F.lit(draw)).alias("h"), "id", "n")).alias("hub"), F.count("*").alias("k"),
         ).where("k > 1").select("shingle", "band", F.col("hub.id").alias("b"), F.col("hub.n").alias("bn"))
         met = banded.join(hubs, ["shingle", "band"]).where("id <> b").groupBy("id", "b", "n", "bn").agg(F.count("*").alias("met"))
-        fit = met.where(f"n * 100 >= bn * {percent} AND bn * 100 >= n * {percent} AND met * 2 >= {least_meetings('n', 'bn', percent)}")
+        fit = met.where(f"n * 100 >= bn * {percent} AND bn * 100 >= n * {percent} AND met * 3 >= {least_meetings('n', 'bn', percent)}")
         best = fit.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("met", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         out = best if out is None else out.union(best)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return out.distinct()
+
+
+def groups_of(seen: DataFrame) -> DataFrame:
+    """(id, hub, added, gone, extra): the nearest compared hub of each set; a hub belongs to itself."""
+    best = seen.groupBy("a").agg(F.min(F.struct((F.col("added") + F.col("gone")).alias("d"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    near = seen.join(best, ["a", "b"]).where("size(extra) = added")
+    hubs = near.select(F.col("b").alias("id")).distinct()
+    members = near.select(F.col("a").alias("id"), F.col("b").alias("hub"), "added", "gone", "extra").join(hubs, "id", "left_anti")
+    own = hubs.select("id", F.col("id").alias("hub"), F.lit(0).alias("added"), F.lit(0).alias("gone"), F.array().cast("array<bigint>").alias("extra"))
+    return members.union(own)
+
 
+def too_far(x: str, y: str, percent: int, met: str = "0") -> str:
+    """SQL: sets of one hub with `met` added shingles in common differ in more than linked sets can."""
+    room = f"({x}.n + {y}.n - 2 * ({ceil_sql(f'({x}.n + {y}.n) * {percent}', 100 + percent)}))"
+    return f"{x}.added + {y}.added + abs({x}.gone - {y}.gone) - 2 * {met} > {room}"
 
-def difference_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of sets of different classes that may link."""
-    classed = lists.join(classes, lists["id"] == classes["node"], "left").select(
-        "shingle", "id", "n", "at", F.coalesce("component", "id").alias("class"))
+
+def difference_pairs(lists: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of sets of different classes that may link, but for a set and its hub."""
+    facts = groups.drop("extra").withColumnRenamed("id", "_id")
+    known = lists.join(classes, lists["id"] == classes["node"], "left").join(facts, lists["id"] == facts["_id"], "left")
+    # Sets that add more than half of what linked sets may differ in are all too far from each other: one class in the lists.
+    heavy = F.expr(f"added * {100 + percent} > n * {100 - percent}")
+    classed = known.select(
+        "shingle", "id", "n", "at", "hub", "added", "gone", F.when(heavy, -1 - F.col("hub")).otherwise(F.coalesce("component", "id")).alias("class"))
     counts = classed.groupBy("shingle", "class").agg(F.count("*").alias("k"))
-    main = counts.groupBy("shingle").agg(F.max(F.struct("k", "class")).alias("m"), F.count("*").alias("classes"))
+    main = counts.groupBy("shingle").agg(F.max(F.struct("k", "class")).alias("m"), F.count("*").alias("classes"), F.sum("k").alias("k"))
     # Lists of one class are skipped whole.
-    open_ = main.where("classes > 1").select("shingle", F.col("m.class").alias("main"))
-    held = classed.join(open_, "shingle")
-    # Blocks: sizes within one band link only with their own and the two bands beside it.
-    band = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    held = held.withColumn("band", band)
-    visitors = held.where("class <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    open_ = main.where("classes > 1").select("shingle", F.col("m.class").alias("main"), "k")
+    # Long lists have blocks by size: sets link only within their own block and the two beside it.
+    band = F.when(F.col("k") > BLOCKED, F.floor(F.log("n") / F.log(F.lit(100 / percent)))).otherwise(F.lit(0)).cast("int")
+    held = classed.join(open_, "shingle").withColumn("band", band)
+    beside = F.when(F.col("k") > BLOCKED, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))
+    visitors = held.where("class <> main").withColumn("band", F.explode(beside))
     x, y = visitors.alias("x"), held.alias("y")
     met = x.join(y, F.expr(
-        f"x.shingle = y.shingle AND x.band = y.band AND x.class <> y.class AND (y.class = y.main OR x.id < y.id) AND {can_link('x', 'y', percent)}"
+        f"x.shingle = y.shingle AND x.band = y.band AND x.class <> y.class AND (y.class = y.main OR x.id < y.id) AND {can_link('x', 'y', percent)} "
+        f"AND NOT coalesce(x.hub = y.hub AND {too_far('x', 'y', percent)}, false)"
     )).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"),
               F.expr("if(x.id < y.id, x.n, y.n)").alias("an"), F.expr("if(x.id < y.id, y.n, x.n)").alias("bn"))
     pairs = met.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("met"))
     return pairs.where(f"met >= {least_meetings('an', 'bn', percent)}").select("a", "b")
 
 
+def added_pairs(groups: DataFrame, sizes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of sets of one hub and of different classes that may link through added shingles."""
+    facts = groups.where("size(extra) > 0").join(sizes, "id").join(classes, F.col("id") == classes["node"], "left")
+    spread = facts.select("hub", "id", "n", "added", "gone", F.coalesce("component", "id").alias("class"), F.explode("extra").alias("shingle"))
+    counts = spread.groupBy("hub", "shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    lists = spread.join(counts.select("hub", "shingle"), ["hub", "shingle"])
+    x, y = lists.alias("x"), lists.alias("y")
+    met = x.join(y, F.expr(
+        f"x.hub = y.hub AND x.shingle = y.shingle AND x.id < y.id AND x.class <> y.class AND x.n * 100 >= y.n * {percent} AND y.n * 100 >= x.n * {percent}"
+    )).selectExpr("x.id AS a", "y.id AS b", "struct(x.n, x.added, x.gone) AS x", "struct(y.n, y.added, y.gone) AS y")
+    return met.groupBy("a", "b", "x", "y").agg(F.count("*").alias("met")).where(f"NOT ({too_far('x', 'y', percent, 'met')})").select("a", "b")
+
+
 def join(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row."""
     signs = checkpointed(spark, signatures(spark, docs, k, percent))
@@ -284,10 +331,13 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) ->
     shared = lists.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
     lists = checkpointed(spark, lists.join(shared, "shingle", "left_semi"))
     hubs = checkpointed(spark, hub_pairs(lists, percent))
-    links = checkpointed(spark, verify(spark, docs, hubs, k, percent))
+    seen = checkpointed(spark, compared(spark, docs, hubs, k, percent))
+    links = seen.where("linked").select("a", "b")
     classes = checkpointed(spark, components(spark, links))
-    rest = checkpointed(spark, difference_pairs(lists, classes, percent))
-    more = verify(spark, docs, rest, k, percent)
+    groups = checkpointed(spark, groups_of(seen))
+    sizes = distinct.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"))
+    rest = difference_pairs(lists, classes, groups, percent).union(added_pairs(groups, sizes, classes, percent)).distinct()
+    more = compared(spark, docs, checkpointed(spark, rest), k, percent).where("linked").select("a", "b")
     copies = chosen.join(sets, "digest").where("doc_id <> set_id").select(F.col("doc_id").alias("a"), F.col("set_id").alias("b"))
     final = checkpointed(spark, components(spark, links.union(more).union(copies)))
     named = signs.join(final, signs["doc_id"] == final["node"], "left")
