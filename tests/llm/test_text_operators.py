@@ -290,17 +290,17 @@ def test_language_more_than_64_languages(spark, docs):
 
 def test_classifier_gradient():
     rng = np.random.default_rng(0)
-    f = [rng.choice(30, 5, replace=False) for _ in range(20)]
+    f = (np.concatenate([rng.choice(30, 5, replace=False) for _ in range(20)]), np.full(20, 5))
     y, w, t = rng.integers(0, 3, 20), rng.normal(size=30) * 0.3, np.array([-0.5, 0.7])
-    gw, gt, _ = classifier.gradient(f, y, w, t)
+    gw, gt, _ = classifier.gradient(*f, y, w, t)
     for i in range(3):
         e = np.zeros(30)
         e[i] = 1e-5
-        assert gw[i] == pytest.approx((classifier.gradient(f, y, w + e, t)[2] - classifier.gradient(f, y, w - e, t)[2]) / 2e-5, abs=1e-4)
+        assert gw[i] == pytest.approx((classifier.gradient(*f, y, w + e, t)[2] - classifier.gradient(*f, y, w - e, t)[2]) / 2e-5, abs=1e-4)
     for i in range(2):
         e = np.zeros(2)
         e[i] = 1e-5
-        assert gt[i] == pytest.approx((classifier.gradient(f, y, w, t + e)[2] - classifier.gradient(f, y, w, t - e)[2]) / 2e-5, abs=1e-4)
+        assert gt[i] == pytest.approx((classifier.gradient(*f, y, w, t + e)[2] - classifier.gradient(*f, y, w, t - e)[2]) / 2e-5, abs=1e-4)
 
 
 def test_classifier_learns_grades(spark, docs):

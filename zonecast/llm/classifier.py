@@ -80,12 +80,13 @@ def tails(total: float, thresholds: np.ndarray) -> np.ndarray:
     return sigmoid(total - thresholds)
 
 
-def gradient(features_: list, grades: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
-    """Sum over rows of the gradient of the negative log likelihood of cumulative links, and that likelihood."""
-    lengths = np.array([len(f) for f in features_])
-    flat = np.concatenate(features_) if len(features_) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(features_)), lengths)
-    total = np.bincount(row, weights[flat], len(features_))
+def gradient(flat: np.ndarray, lengths: np.ndarray, grades: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
+    """Sum over rows of the gradient of the negative log likelihood of cumulative links, and that likelihood.
+
+    `flat` has the features of all rows one after the other, `lengths` how many each has.
+    """
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    total = np.bincount(row, weights[flat], len(lengths))
     edges = np.concatenate(([-np.inf], thresholds, [np.inf]))
     upper, lower = sigmoid(edges[grades + 1] - total), sigmoid(edges[grades] - total)
     upper[grades == len(thresholds)], lower[grades == 0] = 1.0, 0.0
@@ -137,8 +138,11 @@ def fit(spark: SparkSession, rated: DataFrame, grades: int, sample: int = SAMPLE
 
     def thin(batches):
         for b in batches:
-            kept = [[x for x in f if keep.value[x]] for f in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int32())), b.column(1)], ["f", "grade"])
+            flat, lengths = b.column(0).flatten().to_numpy(), np.diff(b.column(0).offsets.to_numpy())
+            stays = keep.value[flat]
+            left = np.bincount(np.repeat(np.arange(len(lengths)), lengths), stays, len(lengths)).astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left))).astype(np.int32)), pa.array(flat[stays]))
+            yield pa.RecordBatch.from_arrays([kept, b.column(1)], ["f", "grade"])
 
     rows = checkpointed(spark, rows.select("f", "grade").mapInArrow(thin, "f array<int>, grade bigint"))
     # Thresholds of the grades' frequencies, half a row added so that no grade is impossible.
@@ -152,8 +156,8 @@ def fit(spark: SparkSession, rated: DataFrame, grades: int, sample: int = SAMPLE
             w, t = shared.value
             sums, slope = np.zeros(BUCKETS), np.zeros(len(t))
             for b in batches:
-                f = [np.asarray(x, np.int64) for x in b.column(0).to_pylist()]
-                gw, gt, _ = gradient(f, b.column(1).to_numpy(), w, t)
+                f = b.column(0)
+                gw, gt, _ = gradient(f.flatten().to_numpy(), np.diff(f.offsets.to_numpy()), b.column(1).to_numpy(), w, t)
                 sums += gw
                 slope += gt
             yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()]), pa.array([slope.tobytes()])], ["w", "t"])
