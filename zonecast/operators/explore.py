@@ -121,8 +121,10 @@ def target_correlation(df: DataFrame, features: Sequence[str], target: str = "de
     y = F.col(target).cast("double")
 
     def strength(f: str) -> Column:
-        x = F.col(f).cast("double")
-        return F.when(F.min(x) < F.max(x), F.abs(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))))
+        # Only rows that have both.
+        x = F.when(y.isNotNull(), F.col(f).cast("double"))
+        own = F.when(F.col(f).isNotNull(), y)
+        return F.when(F.min(x) < F.max(x), F.abs(F.try_divide(F.covar_pop(x, own), F.stddev_pop(x) * F.stddev_pop(own))))
 
     one_row = df.agg(*[strength(f).alias(f) for f in features])
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("abs_corr")) for f in features])
