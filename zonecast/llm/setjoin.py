@@ -244,32 +244,36 @@ def compared(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, per
 
 
 def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each set a, the hub b it meets most often, once per draw.
+    """(a, b): for each set a, the hub b it meets most often, and the hub that most sets meet.
 
-    A list's hub is the set with the smallest hash of the draw among those of
-    about its size. Incomplete on purpose; the differences follow.
+    A list has as many hubs as draws: the sets with the smallest hashes of a draw
+    among those of about its size. Incomplete on purpose; the differences follow.
     """
-    out = None
-    for draw in range(DRAWS):
-        band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + F.lit(draw / DRAWS))
-        banded = lists.withColumn("band", band)
-        hubs = banded.groupBy("shingle", "band").agg(
-            F.min(F.struct(F.xxhash64("id", F.lit(draw)).alias("h"), "id", "n")).alias("hub"), F.count("*").alias("k"),
-        ).where("k > 1").select("shingle", "band", F.col("hub.id").alias("b"), F.col("hub.n").alias("bn"))
-        met = banded.join(hubs, ["shingle", "band"]).where("id <> b").groupBy("id", "b", "n", "bn").agg(F.count("*").alias("met"))
-        fit = met.where(f"n * 100 >= bn * {percent} AND bn * 100 >= n * {percent} AND met * 3 >= {least_meetings('n', 'bn', percent)}")
-        best = fit.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("met", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        out = best if out is None else out.union(best)
-    return out.distinct()
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
+    banded = lists.withColumn("band", band)
+    draws = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", "n")).alias(f"hub{i}") for i in range(DRAWS)]
+    hubs = banded.groupBy("shingle", "band").agg(*draws, F.count("*").alias("k")).where("k > 1").select(
+        "shingle", "band", F.array_distinct(F.array(*[F.struct(F.col(f"hub{i}.id").alias("b"), F.col(f"hub{i}.n").alias("bn")) for i in range(DRAWS)])).alias("hubs"))
+    met = banded.join(hubs, ["shingle", "band"]).select("id", "n", F.explode("hubs").alias("h")).select("id", "n", "h.b", "h.bn").where("id <> b")
+    met = met.groupBy("id", "b", "n", "bn").agg(F.count("*").alias("met"))
+    fit = met.where(f"n * 100 >= bn * {percent} AND bn * 100 >= n * {percent} AND met * 3 >= {least_meetings('n', 'bn', percent)}")
+    liked = fit.groupBy("b").agg(F.count("*").alias("likes"))
+    best = fit.join(liked, "b").groupBy(F.col("id").alias("a")).agg(
+        F.max(F.struct("met", "b")).alias("near"), F.max(F.struct("likes", "b")).alias("main"))
+    return best.select("a", F.explode(F.array("near.b", "main.b")).alias("b")).distinct()
 
 
 def groups_of(seen: DataFrame) -> DataFrame:
-    """(id, hub, added, gone, extra): the nearest compared hub of each set; a hub belongs to itself."""
-    best = seen.groupBy("a").agg(F.min(F.struct((F.col("added") + F.col("gone")).alias("d"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    near = seen.join(best, ["a", "b"]).where("size(extra) = added")
-    hubs = near.select(F.col("b").alias("id")).distinct()
-    members = near.select(F.col("a").alias("id"), F.col("b").alias("hub"), "added", "gone", "extra").join(hubs, "id", "left_anti")
-    own = hubs.select("id", F.col("id").alias("hub"), F.lit(0).alias("added"), F.lit(0).alias("gone"), F.array().cast("array<bigint>").alias("extra"))
+    """(id, hub, added, gone, extra): of the compared hubs of each set the one most others have; a hub belongs to itself."""
+    near = seen.where("size(extra) = added")
+    liked = near.groupBy("b").agg(F.count("*").alias("likes"))
+    best = near.join(liked, "b").groupBy("a").agg(F.max(F.struct("likes", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    chosen = near.join(best, ["a", "b"])
+    hubs = chosen.select(F.col("b").alias("id")).distinct()
+    members = chosen.select(F.col("a").alias("id"), F.col("b").alias("hub"), "added", "gone", "extra")
+    # A hub that is itself near a hub of more sets is its member; the others are at no distance from themselves.
+    own = hubs.join(members, "id", "left_anti").select(
+        "id", F.col("id").alias("hub"), F.lit(0).alias("added"), F.lit(0).alias("gone"), F.array().cast("array<bigint>").alias("extra"))
     return members.union(own)
 
 
@@ -279,10 +283,15 @@ def too_far(x: str, y: str, percent: int, met: str = "0") -> str:
     return f"{x}.added + {y}.added + abs({x}.gone - {y}.gone) - 2 * {met} > {room}"
 
 
-def difference_pairs(lists: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def facts_of(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(_id, component, hub, added, gone) of the sets that have a class or a hub."""
+    named = classes.withColumnRenamed("node", "id").join(groups.drop("extra"), "id", "full_outer")
+    return named.withColumnRenamed("id", "_id")
+
+
+def difference_pairs(lists: DataFrame, facts: DataFrame, few: bool, percent: int) -> DataFrame:
     """(a, b): all pairs of sets of different classes that may link, but for a set and its hub."""
-    facts = groups.drop("extra").withColumnRenamed("id", "_id")
-    known = lists.join(classes, lists["id"] == classes["node"], "left").join(facts, lists["id"] == facts["_id"], "left")
+    known = lists.join(F.broadcast(facts) if few else facts, lists["id"] == facts["_id"], "left")
     # Sets that add more than half of what linked sets may differ in are all too far from each other: one class in the lists.
     heavy = F.expr(f"added * {100 + percent} > n * {100 - percent}")
     classed = known.select(
@@ -336,7 +345,8 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) ->
     classes = checkpointed(spark, components(spark, links))
     groups = checkpointed(spark, groups_of(seen))
     sizes = distinct.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"))
-    rest = difference_pairs(lists, classes, groups, percent).union(added_pairs(groups, sizes, classes, percent)).distinct()
+    facts = checkpointed(spark, facts_of(classes, groups))
+    rest = difference_pairs(lists, facts, facts.count() <= BROADCAST_IDS, percent).union(added_pairs(groups, sizes, classes, percent)).distinct()
     more = compared(spark, docs, checkpointed(spark, rest), k, percent).where("linked").select("a", "b")
     copies = chosen.join(sets, "digest").where("doc_id <> set_id").select(F.col("doc_id").alias("a"), F.col("set_id").alias("b"))
     final = checkpointed(spark, components(spark, links.union(more).union(copies)))
