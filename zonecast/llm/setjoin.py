@@ -277,6 +277,26 @@ def groups_of(seen: DataFrame) -> DataFrame:
     return members.union(own)
 
 
+def centred(groups: DataFrame) -> DataFrame:
+    """The groups with each hub replaced by the hub and what more than half of its sets add to it.
+
+    Shingles that only the hub lacks would else be added by all. The bounds hold
+    for any set in the middle, also for one that no document has.
+    """
+    members = groups.groupBy("hub").agg(F.count("*").alias("members"))
+    spread = groups.select("id", "hub", F.explode("extra").alias("shingle"))
+    usual = spread.groupBy("hub", "shingle").agg(F.count("*").alias("k")).join(members, "hub").where("2 * k > members").select("hub", "shingle")
+    total = usual.groupBy("hub").agg(F.count("*").alias("total"))
+    marked = spread.join(usual.withColumn("usual", F.lit(True)), ["hub", "shingle"], "left")
+    own = marked.groupBy("id").agg(
+        F.count("usual").cast("int").alias("has"), F.collect_list(F.when(F.col("usual").isNull(), F.col("shingle"))).alias("rare"))
+    both = groups.join(total, "hub", "left").join(own, "id", "left")
+    has, total_ = F.coalesce("has", F.lit(0)), F.coalesce("total", F.lit(0)).cast("int")
+    return both.select(
+        "id", "hub", (F.col("added") - has).alias("added"), (F.col("gone") + total_ - has).alias("gone"),
+        F.coalesce("rare", F.array().cast("array<bigint>")).alias("extra"))
+
+
 def too_far(x: str, y: str, percent: int, met: str = "0") -> str:
     """SQL: sets of one hub with `met` added shingles in common differ in more than linked sets can."""
     room = f"({x}.n + {y}.n - 2 * ({ceil_sql(f'({x}.n + {y}.n) * {percent}', 100 + percent)}))"
@@ -343,7 +363,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) ->
     seen = checkpointed(spark, compared(spark, docs, hubs, k, percent))
     links = seen.where("linked").select("a", "b")
     classes = checkpointed(spark, components(spark, links))
-    groups = checkpointed(spark, groups_of(seen))
+    groups = checkpointed(spark, centred(checkpointed(spark, groups_of(seen))))
     sizes = distinct.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"))
     facts = checkpointed(spark, facts_of(classes, groups))
     rest = difference_pairs(lists, facts, facts.count() <= BROADCAST_IDS, percent).union(added_pairs(groups, sizes, classes, percent)).distinct()
