@@ -16,15 +16,17 @@ shingles. The result is each document's component under these links.
    and skips the others. Pairs must meet in as many prefix shingles as the needed
    overlap leaves over (`need`), which is checked before any set is fetched.
 4. Sets of one list are first compared with a hub only (the list's smallest by
-   hash, in a few draws). Of each set the overlap with its hub is kept, and what
-   it has beyond the hub (`added`) and lacks of it (`gone`). A set linked with its
-   hub takes over the hub's answers: it joins the hub's class, and pairs within a
-   class are never formed.
-5. Answers of other sets of the hub follow from these differences: two sets with
-   no added shingle in common differ in at least added + added + |gone - gone|
-   shingles. Where that is too much, they can link only through a common added
-   shingle, so they are looked up in lists of the hub's added shingles, which are
-   short, and skipped in the long lists of what all have.
+   hash, in a few draws). Of each set its `delta` is kept, the shingles that only
+   one of set and hub has. What a set and another one differ in is what only one
+   of their deltas holds, so deltas are moved without reading texts again: to
+   the hub that a hub follows, and to the middle of the group (what more than
+   half of it has). Links with the set nearest to the middle follow from the
+   deltas, and sets linked with it or with a hub take over its class: pairs
+   within a class are never formed.
+5. Answers of other sets of a hub follow from the deltas: deltas with nothing in
+   common add up. Where that is too much, the sets can link only through common
+   shingles of their deltas: these, rare ones first, are looked up in lists of
+   their own, and the pair is skipped in the long lists of what all have.
 6. In a list, only sets outside the list's largest class visit it, so a list of
    one class costs nothing. The pairs left are verified one by one.
 
@@ -40,7 +42,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonecast.llm.base import lower_words_of
@@ -49,6 +51,8 @@ from zonecast.session import checkpointed
 
 SKETCH = 1 << 20
 DRAWS = 2
+#: How often hubs give way to the hubs they follow; any number gives the same result.
+RAISES = 2
 #: Lists longer than that have blocks by size.
 BLOCKED = 64
 #: Ids of sets to fetch are broadcast up to this number, of one long each.
@@ -218,29 +222,28 @@ def fetch(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataF
 
 
 def compared(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, linked, added, gone, extra) of stored pairs (a, b): what a has beyond b, their numbers, and the shingles themselves."""
+    """(a, b, linked, apart, delta) of stored pairs (a, b): in how many shingles they differ, and the shingles that one of them has."""
     ids = checkpointed(spark, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = checkpointed(spark, fetch(spark, docs, ids, k))
 
     def run(batches):
         for batch in batches:
-            out = {"linked": [], "added": [], "gone": [], "extra": []}
+            out = {"linked": [], "apart": [], "delta": []}
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                own = np.setdiff1d(x, y, assume_unique=True)
-                same = len(x) - len(own)
+                delta = np.setxor1d(x, y, assume_unique=True)
+                same = (len(x) + len(y) - len(delta)) // 2
                 out["linked"].append(100 * same >= percent * (len(x) + len(y) - same))
-                out["added"].append(len(own))
-                out["gone"].append(len(y) - same)
+                out["apart"].append(len(delta))
                 # Of sets further apart than that, no difference is of use.
-                out["extra"].append(own.view(np.int64) if 2 * len(own) < len(x) else own[:0].view(np.int64))
-            kinds = {"linked": pa.bool_(), "added": pa.int32(), "gone": pa.int32(), "extra": pa.list_(pa.int64())}
+                out["delta"].append((delta if 2 * same > max(len(x), len(y)) else delta[:0]).view(np.int64))
+            kinds = {"linked": pa.bool_(), "apart": pa.int32(), "delta": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(out[c], t) for c, t in kinds.items())], ["a", "b", *kinds])
 
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean, added int, gone int, extra array<bigint>")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean, apart int, delta array<bigint>")
 
 
 def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -263,59 +266,74 @@ def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return best.select("a", F.explode(F.array("near.b", "main.b")).alias("b")).distinct()
 
 
-def groups_of(seen: DataFrame) -> DataFrame:
-    """(id, hub, added, gone, extra): of the compared hubs of each set the one most others have; a hub belongs to itself."""
-    near = seen.where("size(extra) = added")
-    liked = near.groupBy("b").agg(F.count("*").alias("likes"))
-    best = near.join(liked, "b").groupBy("a").agg(F.max(F.struct("likes", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    chosen = near.join(best, ["a", "b"])
-    hubs = chosen.select(F.col("b").alias("id")).distinct()
-    members = chosen.select(F.col("a").alias("id"), F.col("b").alias("hub"), "added", "gone", "extra")
-    # A hub that is itself near a hub of more sets is its member; the others are at no distance from themselves.
-    own = hubs.join(members, "id", "left_anti").select(
-        "id", F.col("id").alias("hub"), F.lit(0).alias("added"), F.lit(0).alias("gone"), F.array().cast("array<bigint>").alias("extra"))
-    return members.union(own)
-
+def either(x: str, y: str) -> Column:
+    """The shingles that only one of two arrays has."""
+    return F.concat(F.array_except(x, y), F.array_except(y, x))
 
-def centred(groups: DataFrame) -> DataFrame:
-    """The groups with each hub replaced by the hub and what more than half of its sets add to it.
 
-    Shingles that only the hub lacks would else be added by all. The bounds hold
-    for any set in the middle, also for one that no document has.
+def groups_of(seen: DataFrame) -> DataFrame:
+    """(id, hub, delta): of the compared hubs of each set the one most others have, and what set and hub differ in."""
+    near = seen.where("size(delta) = apart").select("a", "b", "delta")
+    liked = near.groupBy("b").agg(F.count("*").alias("likes"))
+    # Hubs follow hubs of more sets only, so that they form no rings.
+    ranked = near.select("a", "b").join(liked, "b").join(liked.selectExpr("b AS a", "likes AS own"), "a", "left").where(
+        "own IS NULL OR likes > own OR (likes = own AND b > a)")
+    best = ranked.groupBy("a").agg(F.max(F.struct("likes", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    members = near.join(best, ["a", "b"]).select(F.col("a").alias("id"), F.col("b").alias("hub"), "delta")
+    own = members.select(F.col("hub").alias("id")).distinct().join(members, "id", "left_anti")
+    return members.union(own.select("id", F.col("id").alias("hub"), F.array().cast("array<bigint>").alias("delta")))
+
+
+def raised(groups: DataFrame) -> DataFrame:
+    """The groups with each hub that follows another replaced by that one: the difference of two differences is exact."""
+    hubs = groups.select("hub").distinct()
+    above = groups.where("hub <> id").select(F.col("id").alias("hub"), F.col("hub").alias("top"), F.col("delta").alias("way")).join(hubs, "hub", "left_semi")
+    return groups.join(above, "hub", "left").select(
+        "id", F.coalesce("top", "hub").alias("hub"), F.when(F.col("top").isNull(), F.col("delta")).otherwise(either("delta", "way")).alias("delta"))
+
+
+def centred(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, hub, delta, n, d): differences from the middle of the group instead of its hub, d of them, and the set's size.
+
+    The middle has what more than half of the group's sets have. No document
+    need have it: two sets differ in what only one of their differences holds,
+    whatever they are taken from. A group has at most twice as many shingles to
+    turn over as its sets have on average.
     """
     members = groups.groupBy("hub").agg(F.count("*").alias("members"))
-    spread = groups.select("id", "hub", F.explode("extra").alias("shingle"))
-    usual = spread.groupBy("hub", "shingle").agg(F.count("*").alias("k")).join(members, "hub").where("2 * k > members").select("hub", "shingle")
-    total = usual.groupBy("hub").agg(F.count("*").alias("total"))
-    marked = spread.join(usual.withColumn("usual", F.lit(True)), ["hub", "shingle"], "left")
-    own = marked.groupBy("id").agg(
-        F.count("usual").cast("int").alias("has"), F.collect_list(F.when(F.col("usual").isNull(), F.col("shingle"))).alias("rare"))
-    both = groups.join(total, "hub", "left").join(own, "id", "left")
-    has, total_ = F.coalesce("has", F.lit(0)), F.coalesce("total", F.lit(0)).cast("int")
-    return both.select(
-        "id", "hub", (F.col("added") - has).alias("added"), (F.col("gone") + total_ - has).alias("gone"),
-        F.coalesce("rare", F.array().cast("array<bigint>")).alias("extra"))
+    counts = groups.select("hub", F.explode("delta").alias("shingle")).groupBy("hub", "shingle").agg(F.count("*").alias("k"))
+    usual = counts.join(members, "hub").where("2 * k > members").groupBy("hub").agg(F.collect_list("shingle").alias("usual"))
+    turned = groups.join(usual, "hub", "left").select(
+        "id", "hub", F.when(F.col("usual").isNull(), F.col("delta")).otherwise(either("delta", "usual")).alias("delta"))
+    return turned.join(sizes, "id").withColumn("d", F.size("delta"))
+
 
+def room(x: str, y: str, percent: int) -> str:
+    """SQL: in how many shingles linked sets may differ."""
+    return f"({x}.n + {y}.n - 2 * ({ceil_sql(f'({x}.n + {y}.n) * {percent}', 100 + percent)}))"
 
-def too_far(x: str, y: str, percent: int, met: str = "0") -> str:
-    """SQL: sets of one hub with `met` added shingles in common differ in more than linked sets can."""
-    room = f"({x}.n + {y}.n - 2 * ({ceil_sql(f'({x}.n + {y}.n) * {percent}', 100 + percent)}))"
-    return f"{x}.added + {y}.added + abs({x}.gone - {y}.gone) - 2 * {met} > {room}"
+
+def middle_links(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of the sets of a group with its set nearest to the middle, from their differences alone."""
+    nearest = groups.groupBy("hub").agg(F.min(F.struct("d", "id")).alias("m")).select("hub", F.col("m.id").alias("id"))
+    nearest = groups.join(nearest, ["hub", "id"]).select("hub", F.struct("id", "n", "delta").alias("y"))
+    both = groups.select("hub", F.struct("id", "n", "delta").alias("x")).join(nearest, "hub").where("x.id <> y.id")
+    return both.where(F.size(either("x.delta", "y.delta")) <= F.expr(room("x", "y", percent))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def facts_of(classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(_id, component, hub, added, gone) of the sets that have a class or a hub."""
-    named = classes.withColumnRenamed("node", "id").join(groups.drop("extra"), "id", "full_outer")
+    """(_id, component, hub, d) of the sets that have a class or a hub."""
+    named = classes.withColumnRenamed("node", "id").join(groups.select("id", "hub", "d"), "id", "full_outer")
     return named.withColumnRenamed("id", "_id")
 
 
 def difference_pairs(lists: DataFrame, facts: DataFrame, few: bool, percent: int) -> DataFrame:
-    """(a, b): all pairs of sets of different classes that may link, but for a set and its hub."""
+    """(a, b): pairs of sets of different classes that may link, but for sets of one hub whose differences share nothing and are too many."""
     known = lists.join(F.broadcast(facts) if few else facts, lists["id"] == facts["_id"], "left")
-    # Sets that add more than half of what linked sets may differ in are all too far from each other: one class in the lists.
-    heavy = F.expr(f"added * {100 + percent} > n * {100 - percent}")
-    classed = known.select(
-        "shingle", "id", "n", "at", "hub", "added", "gone", F.when(heavy, -1 - F.col("hub")).otherwise(F.coalesce("component", "id")).alias("class"))
+    # Sets further from the middle than half of what linked sets may differ in are all too far from each other: one class in the lists.
+    heavy = F.expr(f"d * {100 + percent} > n * {100 - percent}")
+    classed = known.withColumn("component", F.coalesce("component", "id")).select(
+        "shingle", "id", "n", "at", "hub", "d", "component", F.when(heavy, -1 - F.col("hub")).otherwise(F.col("component")).alias("class"))
     counts = classed.groupBy("shingle", "class").agg(F.count("*").alias("k"))
     main = counts.groupBy("shingle").agg(F.max(F.struct("k", "class")).alias("m"), F.count("*").alias("classes"), F.sum("k").alias("k"))
     # Lists of one class are skipped whole.
@@ -327,25 +345,33 @@ def difference_pairs(lists: DataFrame, facts: DataFrame, few: bool, percent: int
     visitors = held.where("class <> main").withColumn("band", F.explode(beside))
     x, y = visitors.alias("x"), held.alias("y")
     met = x.join(y, F.expr(
-        f"x.shingle = y.shingle AND x.band = y.band AND x.class <> y.class AND (y.class = y.main OR x.id < y.id) AND {can_link('x', 'y', percent)} "
-        f"AND NOT coalesce(x.hub = y.hub AND {too_far('x', 'y', percent)}, false)"
+        f"x.shingle = y.shingle AND x.band = y.band AND x.class <> y.class AND (y.class = y.main OR x.id < y.id) AND x.component <> y.component "
+        f"AND {can_link('x', 'y', percent)} AND NOT coalesce(x.hub = y.hub AND x.d + y.d > {room('x', 'y', percent)}, false)"
     )).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"),
               F.expr("if(x.id < y.id, x.n, y.n)").alias("an"), F.expr("if(x.id < y.id, y.n, x.n)").alias("bn"))
     pairs = met.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("met"))
     return pairs.where(f"met >= {least_meetings('an', 'bn', percent)}").select("a", "b")
 
 
-def added_pairs(groups: DataFrame, sizes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of sets of one hub and of different classes that may link through added shingles."""
-    facts = groups.where("size(extra) > 0").join(sizes, "id").join(classes, F.col("id") == classes["node"], "left")
-    spread = facts.select("hub", "id", "n", "added", "gone", F.coalesce("component", "id").alias("class"), F.explode("extra").alias("shingle"))
-    counts = spread.groupBy("hub", "shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    lists = spread.join(counts.select("hub", "shingle"), ["hub", "shingle"])
+def delta_pairs(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of sets of one hub and of different classes whose differences share enough to link.
+
+    Sets differ in x.d + y.d - 2 * shared shingles. Differences are put in order,
+    rare first, and meet in the part before the last shared ones they need: what
+    many sets of a group lack or add is not looked up.
+    """
+    facts = groups.where("d > 0").join(classes, F.col("id") == classes["node"], "left")
+    spread = facts.select("hub", "id", "n", "d", F.coalesce("component", "id").alias("class"), F.explode("delta").alias("shingle"))
+    counts = spread.groupBy("hub", "shingle").agg(F.count("*").alias("k"), F.min("class").alias("low"), F.max("class").alias("high"))
+    order = Window.partitionBy("id").orderBy("k", "shingle")
+    placed = spread.join(counts, ["hub", "shingle"]).withColumn("at", F.row_number().over(order) - 1)
+    lists = placed.where(f"low < high AND at * {percent} <= n * {100 - percent}").select("hub", "shingle", "id", "n", "d", "class", "at")
     x, y = lists.alias("x"), lists.alias("y")
-    met = x.join(y, F.expr(
-        f"x.hub = y.hub AND x.shingle = y.shingle AND x.id < y.id AND x.class <> y.class AND x.n * 100 >= y.n * {percent} AND y.n * 100 >= x.n * {percent}"
-    )).selectExpr("x.id AS a", "y.id AS b", "struct(x.n, x.added, x.gone) AS x", "struct(y.n, y.added, y.gone) AS y")
-    return met.groupBy("a", "b", "x", "y").agg(F.count("*").alias("met")).where(f"NOT ({too_far('x', 'y', percent, 'met')})").select("a", "b")
+    need = f"greatest(1, (x.d + y.d - {room('x', 'y', percent)} + 1) DIV 2)"
+    return x.join(y, F.expr(
+        f"x.hub = y.hub AND x.shingle = y.shingle AND x.id < y.id AND x.class <> y.class AND x.n * 100 >= y.n * {percent} AND y.n * 100 >= x.n * {percent} "
+        f"AND x.at + {need} <= x.d AND y.at + {need} <= y.d AND 1 + least(x.d - x.at - 1, y.d - y.at - 1) + least(x.at, y.at) >= {need}"
+    )).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def join(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -362,11 +388,15 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) ->
     hubs = checkpointed(spark, hub_pairs(lists, percent))
     seen = checkpointed(spark, compared(spark, docs, hubs, k, percent))
     links = seen.where("linked").select("a", "b")
-    classes = checkpointed(spark, components(spark, links))
-    groups = checkpointed(spark, centred(checkpointed(spark, groups_of(seen))))
+    groups = checkpointed(spark, groups_of(seen))
+    for _ in range(RAISES):
+        groups = checkpointed(spark, raised(groups))
     sizes = distinct.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"))
+    groups = checkpointed(spark, centred(groups, sizes))
+    links = checkpointed(spark, links.union(middle_links(groups, percent)))
+    classes = checkpointed(spark, components(spark, links))
     facts = checkpointed(spark, facts_of(classes, groups))
-    rest = difference_pairs(lists, facts, facts.count() <= BROADCAST_IDS, percent).union(added_pairs(groups, sizes, classes, percent)).distinct()
+    rest = difference_pairs(lists, facts, facts.count() <= BROADCAST_IDS, percent).union(delta_pairs(groups, classes, percent)).distinct()
     more = compared(spark, docs, checkpointed(spark, rest), k, percent).where("linked").select("a", "b")
     copies = chosen.join(sets, "digest").where("doc_id <> set_id").select(F.col("doc_id").alias("a"), F.col("set_id").alias("b"))
     final = checkpointed(spark, components(spark, links.union(more).union(copies)))
