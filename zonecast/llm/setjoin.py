@@ -13,8 +13,10 @@ shingles. The result is each document's component under these links.
    in which two linked sets must meet), with size and position. Lists are cut
    into blocks by size and position band; a set visits only the blocks in which
    the bound 1 + min(rest of A, rest of B) can still reach the needed overlap,
-   and skips the others. Pairs must meet in as many prefix shingles as the needed
-   overlap leaves over (`need`), which is checked before any set is fetched.
+   and skips the others: what linked sets share begins with their first meeting,
+   so later meetings need not be formed. Pairs must meet in as many prefix
+   shingles as the needed overlap leaves over (`least_meetings`), which is
+   counted from the two prefixes before any set is fetched.
 4. Sets of one list are first compared with a hub only (the list's smallest by
    hash, in a few draws). Of each set its `delta` is kept, the shingles that only
    one of set and hub has. What a set and another one differ in is what only one
@@ -182,11 +184,14 @@ def ceil_sql(a: str, b: int) -> str:
 
 
 def can_link(x: str, y: str, percent: int) -> str:
-    """SQL: sizes fit, and the rest of both sets behind this meeting reaches the needed overlap."""
+    """SQL: sizes fit, and this meeting and the rest of both sets behind it reach the needed overlap.
+
+    This holds for the first meeting of linked sets: they share nothing before it.
+    """
     need = ceil_sql(f"({x}.n + {y}.n) * {percent}", 100 + percent)
     return (
         f"{x}.n * 100 >= {y}.n * {percent} AND {y}.n * 100 >= {x}.n * {percent} "
-        f"AND 1 + least({x}.n - {x}.at - 1, {y}.n - {y}.at - 1) + least({x}.at, {y}.at) >= {need}"
+        f"AND 1 + least({x}.n - {x}.at - 1, {y}.n - {y}.at - 1) >= {need}"
     )
 
 
@@ -328,7 +333,7 @@ def facts_of(classes: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def difference_pairs(lists: DataFrame, facts: DataFrame, few: bool, percent: int) -> DataFrame:
-    """(a, b): pairs of sets of different classes that may link, but for sets of one hub whose differences share nothing and are too many."""
+    """(a, b, an, bn): pairs of sets of different classes that may link, with their sizes, but for sets of one hub whose differences share nothing and are too many."""
     known = lists.join(F.broadcast(facts) if few else facts, lists["id"] == facts["_id"], "left")
     # Sets further from the middle than half of what linked sets may differ in are all too far from each other: one class in the lists.
     heavy = F.expr(f"d * {100 + percent} > n * {100 - percent}")
@@ -344,13 +349,26 @@ def difference_pairs(lists: DataFrame, facts: DataFrame, few: bool, percent: int
     beside = F.when(F.col("k") > BLOCKED, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))
     visitors = held.where("class <> main").withColumn("band", F.explode(beside))
     x, y = visitors.alias("x"), held.alias("y")
-    met = x.join(y, F.expr(
+    return x.join(y, F.expr(
         f"x.shingle = y.shingle AND x.band = y.band AND x.class <> y.class AND (y.class = y.main OR x.id < y.id) AND x.component <> y.component "
         f"AND {can_link('x', 'y', percent)} AND NOT coalesce(x.hub = y.hub AND x.d + y.d > {room('x', 'y', percent)}, false)"
     )).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"),
-              F.expr("if(x.id < y.id, x.n, y.n)").alias("an"), F.expr("if(x.id < y.id, y.n, x.n)").alias("bn"))
-    pairs = met.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("met"))
-    return pairs.where(f"met >= {least_meetings('an', 'bn', percent)}").select("a", "b")
+              F.expr("if(x.id < y.id, x.n, y.n)").alias("an"), F.expr("if(x.id < y.id, y.n, x.n)").alias("bn")).distinct()
+
+
+def meeting_often(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the stored pairs whose prefixes share as many shingles as those of linked sets do."""
+
+    def run(batches):
+        for b in batches:
+            prefixes = [[np.frombuffer(p, np.int64) for p in b.column(i).to_pylist()] for i in (3, 4)]
+            met = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*prefixes)], np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(met >= b.column(2).to_numpy()))
+
+    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("prefix").alias("x")), "a")
+    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("prefix").alias("y")), "b")
+    least = F.expr(least_meetings("an", "bn", percent)).cast("long").alias("least")
+    return both.select("a", "b", least, "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def delta_pairs(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -396,7 +414,8 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) ->
     links = checkpointed(spark, links.union(middle_links(groups, percent)))
     classes = checkpointed(spark, components(spark, links))
     facts = checkpointed(spark, facts_of(classes, groups))
-    rest = difference_pairs(lists, facts, facts.count() <= BROADCAST_IDS, percent).union(delta_pairs(groups, classes, percent)).distinct()
+    open_pairs = checkpointed(spark, difference_pairs(lists, facts, facts.count() <= BROADCAST_IDS, percent))
+    rest = meeting_often(open_pairs, distinct, percent).union(delta_pairs(groups, classes, percent)).distinct()
     more = compared(spark, docs, checkpointed(spark, rest), k, percent).where("linked").select("a", "b")
     copies = chosen.join(sets, "digest").where("doc_id <> set_id").select(F.col("doc_id").alias("a"), F.col("set_id").alias("b"))
     final = checkpointed(spark, components(spark, links.union(more).union(copies)))
