@@ -242,6 +242,20 @@ def test_decontamination_finds_near_copies_only(spark, docs):
     assert left == set(range(len(texts))) - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("times", [2, 3, 10])
+def test_decontamination_of_repeated_and_similar_items(spark, docs, times):
+    item = [f"b{i}" for i in range(60)]
+    near = item[:30] + ["changed"] + item[31:]
+    # Listed several times as it is, and several times with another last word: both share most shingles.
+    bench = spark.createDataFrame(
+        [(i, " ".join(item).upper() if i % 2 else " ".join(item)) for i in range(times)], "item_id bigint, text string")
+    got = {r["item_id"]: r["similarity"] for r in decontam.contaminated(spark, docs([" ".join(near)]), bench).collect()}
+    assert got == {i: pytest.approx(51 / 61, abs=1e-5) for i in range(times)}
+    bench = spark.createDataFrame([(i, " ".join([*item[:-1], f"end{i}"])) for i in range(times)], "item_id bigint, text string")
+    got = {r["item_id"] for r in decontam.contaminated(spark, docs([" ".join([*near[:-1], "end0"])]), bench).collect()}
+    assert 0 in got
+
+
 def test_decontamination_of_nothing(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     assert decontam.contaminated(spark, docs(["x"]).limit(0), bench).count() == 0

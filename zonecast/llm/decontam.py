@@ -3,14 +3,16 @@
 A document holds an item if one of its item-sized windows has a weighted
 similarity of at least `LEAST` with it on shingles of five words (all words of
 an item with fewer): the sum of the smaller by the sum of the larger weighted
-counts. A shingle weighs 1 / number of items that hold it, so that what items
-share counts less; shingles of no item weigh 1.
+counts. A shingle weighs 1 / number of different item texts that hold it, so that
+what items share counts less and repeats of an item change nothing; a shingle of
+no item weighs as much as the item's shingles on average.
 
 1. Windows: such a window shares a shingle with the item, so positions that hold
    a shingle of some item are looked up first, and a window as long as the item
    is laid where the shingle stands at its place in the item. Inserted and
    missing words give a window each before and after.
-2. Fingerprints: a 64-bit SimHash of each window and item.
+2. Fingerprints: a 64-bit SimHash of each window and item. In it, shingles of no
+   item weigh as much as the others of the window on average.
 3. Multi-index: the fingerprint is cut into `RADIUS + 1` blocks. Two
    fingerprints within `RADIUS` bits agree in one block at least, so an equi-join
    on (length, block, value) finds all of them; the distance is checked after it.
@@ -76,13 +78,13 @@ def blocks_col(fp: Column) -> Column:
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """(item_id, length, at, h, k): the shingles of each item; the first text, by order, of a repeated id."""
+    """(item_id, body, length, k, at, h): the shingles of each item, `body` telling different texts apart; the first text, by order, of a repeated id."""
     texts = items.where("item_id IS NOT NULL").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
     worded = texts.select("item_id", words_col(F.col("text")).alias("words")).where(F.size("words") > 0)
     cases = [F.when(F.size("words") == k, shingles_col(F.col("words"), k)) for k in range(1, K)]
     hashes = F.coalesce(*cases, shingles_col(F.col("words"), K))
     return worded.select(
-        "item_id", F.size("words").alias("length"), F.least(F.size("words"), F.lit(K)).alias("k"), F.posexplode(hashes).alias("at", "h"))
+        "item_id", F.xxhash64("words").alias("body"), F.size("words").alias("length"), F.least(F.size("words"), F.lit(K)).alias("k"), F.posexplode(hashes).alias("at", "h"))
 
 
 def windows_of(docs: DataFrame, shingles: DataFrame, ks: list[int], few: bool) -> DataFrame:
@@ -105,9 +107,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, least:
     few = shingles.count() <= BROADCAST_ROWS
     ks = [r["k"] for r in shingles.select("k").distinct().orderBy("k").collect()] or [K]
     # What several items hold weighs less.
-    weights = shingles.groupBy("h").agg((1 / F.count_distinct("item_id")).alias("weight")).where("weight < 1")
-    counts = shingles.groupBy("item_id", "length", "k", "h").agg(F.count("*").alias("c")).join(hinted(weights, few), "h", "left")
-    counts = checkpointed(spark, counts.withColumn("weight", F.coalesce("weight", F.lit(1.0))))
+    weights = checkpointed(spark, shingles.groupBy("h").agg((1 / F.count_distinct("body")).alias("weight")))
+    counts = shingles.groupBy("item_id", "length", "k", "h").agg(F.count("*").alias("c")).join(hinted(weights, few), "h")
+    counts = checkpointed(spark, counts)
     prints = fingerprints(counts.withColumn("weight", F.col("weight") * F.col("c")), ["item_id", "length", "k"]).select(
         "item_id", "length", "fp", F.explode(blocks_col(F.col("fp"))).alias("b")).select("item_id", "length", "fp", "b.block", "b.value")
 
@@ -119,21 +121,28 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, least:
     spread = cut.select("doc_id", "start", "length", F.explode(F.coalesce(*cases)).alias("h"))
     key = ["doc_id", "start", "length"]
     parts = spread.groupBy(*key, "h").agg(F.count("*").alias("c")).join(hinted(weights, few), "h", "left")
-    parts = checkpointed(spark, parts.withColumn("weight", F.coalesce("weight", F.lit(1.0))))
-
-    seen = fingerprints(parts.withColumn("weight", F.col("weight") * F.col("c")), key)
+    parts = checkpointed(spark, parts)
+    # A null weight: a shingle of no item.
+    mass = parts.groupBy(*key).agg(
+        F.sum(F.col("c") * F.col("weight")).alias("known"), F.sum(F.when(F.col("weight").isNull(), F.col("c")).otherwise(0)).alias("foreign"),
+        (F.sum(F.col("c") * F.col("weight")) / F.sum(F.when(F.col("weight").isNotNull(), F.col("c")))).alias("mean"))
+    light = checkpointed(spark, mass.where("mean < 1 AND foreign > 0").select(*key, "mean"))
+    votes = parts.join(hinted(light, light.count() <= BROADCAST_ROWS), key, "left")
+
+    seen = fingerprints(votes.withColumn("weight", F.coalesce("weight", "mean", F.lit(1.0)) * F.col("c")), key)
     blocked = seen.select(*key, F.col("fp").alias("wfp"), F.explode(blocks_col(F.col("fp"))).alias("b")).select(*key, "wfp", "b.block", "b.value")
     near = blocked.join(hinted(prints, few), ["length", "block", "value"]).where(
         F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= RADIUS).select(*key, "item_id").distinct()
 
-    mass = parts.groupBy(*key).agg(F.sum(F.col("c") * F.col("weight")).alias("w_mass"))
-    item_mass = counts.groupBy("item_id").agg(F.sum(F.col("c") * F.col("weight")).alias("i_mass"))
+    item_mass = counts.groupBy("item_id").agg(
+        F.sum(F.col("c") * F.col("weight")).alias("i_mass"), (F.sum(F.col("c") * F.col("weight")) / F.sum("c")).alias("i_mean"))
     common = (
         near.join(parts.select(*key, "h", "c", "weight"), key)
         .join(hinted(counts.select("item_id", "h", F.col("c").alias("ic")), few), ["item_id", "h"])
         .groupBy(*key, "item_id").agg(F.sum(F.least("c", "ic") * F.col("weight")).alias("both"))
     )
-    scored = common.join(mass, key).join(hinted(item_mass, few), "item_id").withColumn(
+    w_mass = F.col("known") + F.col("foreign") * F.col("i_mean")
+    scored = common.join(mass.drop("mean"), key).join(hinted(item_mass, few), "item_id").withColumn("w_mass", w_mass).withColumn(
         "similarity", F.round(F.col("both") / (F.col("w_mass") + F.col("i_mass") - F.col("both")), 6))
     good = scored.where(F.col("similarity") >= least)
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("m"))
