@@ -1,6 +1,7 @@
 import random
 
 from conftest import TESTDATA  # noqa: F401
+from xxhash import xxh128_digest
 from zonecast.llm import links, setjoin
 
 from .conftest import ODD
@@ -81,6 +82,16 @@ def test_first_of_each_keeps_one(spark, docs):
     assert kept == {c for _, c in want.values()}
 
 
+def test_first_of_each_of_null_and_repeated_ids(spark, docs):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    texts = [words[0], words[0], words[0], words[1], words[2], words[2], "", words[3], words[3]]
+    ids = [5, 5, 7, 5, None, None, 9, 9, None]
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in setjoin.first_of_each(spark, docs(texts, ids=ids, extra=True)).collect())
+    stands = min(words[:2], key=lambda t: xxh128_digest(setjoin.shingles(t, 5).tobytes()))
+    want = [(-1, words[2]), (-1, words[2]), (-1, words[3]), (5, stands), (9, words[3])]
+    assert got == sorted(want if stands == words[0] else [*want, (7, words[0])])
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5)]
     got = {r["node"]: r["component"] for r in links.components(spark, spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}

@@ -43,6 +43,7 @@ returned with a null component and link with nothing. Other columns stay unread.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -424,11 +425,32 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) ->
 
 
 def first_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest id of each component; other columns stay. Of repeated rows of an id, one stays."""
-    grouped = join(spark, docs.select("doc_id", "text"), k, percent).where("component_id = doc_id").select("doc_id").distinct()
-    gone = grouped.count()
-    kept = docs.join(F.broadcast(grouped) if gone <= BROADCAST_IDS else grouped, "doc_id", "left_semi")
-    return kept
+    """The documents with the smallest id of each component; other columns stay.
+
+    Of rows that repeat an id one stays, with the set that stood for the id in
+    linking. Rows with a null id link with nothing and stay, all of them.
+    """
+    grouped = join(spark, docs.select("doc_id", "text"), k, percent).where("component_id = doc_id").select("doc_id")
+    counted = checkpointed(spark, grouped.groupBy("doc_id").agg(F.count("*").alias("_rows")))
+    once = counted.where("_rows = 1").select("doc_id")
+    kept = docs.join(F.broadcast(once) if once.count() <= BROADCAST_IDS else once, "doc_id", "left_semi").select(*docs.columns)
+    kept = kept.unionByName(docs.where("doc_id IS NULL"))
+    repeated = counted.where("_rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+
+    def ranked(text):
+        from xxhash import xxh128_digest
+
+        sets = [shingles(t, k) for t in text]
+        return [(not len(x), xxh128_digest(x.tobytes())) for x in sets]
+
+    names = docs.columns
+    rows = docs.join(repeated, "doc_id", "left_semi").select(*names)
+    rank = F.pandas_udf(lambda text: pd.DataFrame(ranked(text), columns=["empty", "digest"]), "empty boolean, digest binary")
+    rows = rows.select(F.struct(*names).alias("row"), F.struct(rank("text").alias("set"), "text", F.to_json(F.struct(*names)).alias("all")).alias("rank"))
+    first = rows.groupBy("row.doc_id").agg(F.min_by("row", "rank").alias("row")).select("row.*")
+    return kept.unionByName(first)
 
 
 SQL = r"""
