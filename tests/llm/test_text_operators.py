@@ -256,6 +256,16 @@ def test_decontamination_of_repeated_and_similar_items(spark, docs, times):
     assert 0 in got
 
 
+def test_decontamination_of_repeated_ids(spark, docs):
+    item = " ".join(f"b{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    filler = " ".join(f"f{i}" for i in range(40))
+    table = docs([item, item, filler, item, filler, filler], ids=[5, 5, 6, 6, 7, 7])
+    got = {r["doc_id"]: (r["start"], r["similarity"]) for r in decontam.contaminated(spark, table, bench).collect()}
+    assert got == {5: (0, 1.0), 6: (0, 1.0)}
+    assert [r["doc_id"] for r in decontam.clean_of(spark, table, bench).collect()] == [7, 7]
+
+
 def test_decontamination_of_nothing(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     assert decontam.contaminated(spark, docs(["x"]).limit(0), bench).count() == 0

@@ -22,7 +22,8 @@ no item weighs as much as the item's shingles on average.
 
 Words are runs of anything but ASCII white space, lower-cased. Null and short
 texts hold nothing; null and empty items are held by nothing. Rows that repeat
-an id are one document. Of equally similar windows the first is given. Shingles
+an id are one document, which holds what any of its different texts holds. Of
+equally similar windows the first is given. Shingles
 of the items are broadcast up to `BROADCAST_ROWS` of them, beyond that all
 look-ups are shuffle joins. Other columns are not read.
 """
@@ -78,48 +79,50 @@ def blocks_col(fp: Column) -> Column:
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """(item_id, body, length, k, at, h): the shingles of each item, `body` telling different texts apart; the first text, by order, of a repeated id."""
+    """(item_id, wording, length, k, at, h): the shingles of each item, `wording` telling different texts apart; the first text, by order, of a repeated id."""
     texts = items.where("item_id IS NOT NULL").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
     worded = texts.select("item_id", words_col(F.col("text")).alias("words")).where(F.size("words") > 0)
     cases = [F.when(F.size("words") == k, shingles_col(F.col("words"), k)) for k in range(1, K)]
     hashes = F.coalesce(*cases, shingles_col(F.col("words"), K))
     return worded.select(
-        "item_id", F.xxhash64("words").alias("body"), F.size("words").alias("length"), F.least(F.size("words"), F.lit(K)).alias("k"), F.posexplode(hashes).alias("at", "h"))
+        "item_id", F.xxhash64("words").alias("wording"), F.size("words").alias("length"), F.least(F.size("words"), F.lit(K)).alias("k"), F.posexplode(hashes).alias("at", "h"))
 
 
 def windows_of(docs: DataFrame, shingles: DataFrame, ks: list[int], few: bool) -> DataFrame:
-    """(doc_id, start, length, k): item-sized windows laid over each shingle that an item has too."""
+    """(doc_id, body, start, length, k): item-sized windows laid over each shingle that an item has too."""
     out = None
     for k in ks:
         words = words_col(F.col("text"))
-        spread = docs.select("doc_id", words.alias("w")).select(
-            "doc_id", F.size("w").alias("n"), F.posexplode(shingles_col(F.col("w"), k)).alias("p", "h"))
+        spread = docs.select("doc_id", "body", words.alias("w")).select(
+            "doc_id", "body", F.size("w").alias("n"), F.posexplode(shingles_col(F.col("w"), k)).alias("p", "h"))
         met = spread.join(hinted(shingles.where(F.col("k") == k), few), "h")
-        laid = met.select("doc_id", F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n") - F.col("length"))).alias("start"), "length", "k")
+        laid = met.select("doc_id", "body", F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n") - F.col("length"))).alias("start"), "length", "k")
         out = laid if out is None else out.union(laid)
     return out.distinct()
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, start, similarity: the best window of each document and item it holds."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    # The texts of a repeated id are told apart by `body`.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text").where("doc_id IS NOT NULL")
     shingles = checkpointed(spark, item_shingles(items))
     few = shingles.count() <= BROADCAST_ROWS
     ks = [r["k"] for r in shingles.select("k").distinct().orderBy("k").collect()] or [K]
     # What several items hold weighs less.
-    weights = checkpointed(spark, shingles.groupBy("h").agg((1 / F.count_distinct("body")).alias("weight")))
+    weights = checkpointed(spark, shingles.groupBy("h").agg((1 / F.count_distinct("wording")).alias("weight")))
     counts = shingles.groupBy("item_id", "length", "k", "h").agg(F.count("*").alias("c")).join(hinted(weights, few), "h")
     counts = checkpointed(spark, counts)
     prints = fingerprints(counts.withColumn("weight", F.col("weight") * F.col("c")), ["item_id", "length", "k"]).select(
         "item_id", "length", "fp", F.explode(blocks_col(F.col("fp"))).alias("b")).select("item_id", "length", "fp", "b.block", "b.value")
 
     windows = checkpointed(spark, windows_of(docs, shingles, ks, few))
-    ids = checkpointed(spark, windows.select("doc_id").distinct())
-    held = docs.join(hinted(ids, ids.count() <= BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", words_col(F.col("text")).alias("w"))
-    cut = held.join(windows, "doc_id").select("doc_id", "start", "length", "k", F.slice("w", F.col("start") + 1, F.col("length")).alias("w"))
+    ids = checkpointed(spark, windows.select("doc_id", "body").distinct())
+    held = docs.join(hinted(ids, ids.count() <= BROADCAST_ROWS), ["doc_id", "body"], "left_semi").dropDuplicates(["doc_id", "body"])
+    held = held.select("doc_id", "body", words_col(F.col("text")).alias("w"))
+    cut = held.join(windows, ["doc_id", "body"]).select("doc_id", "body", "start", "length", "k", F.slice("w", F.col("start") + 1, F.col("length")).alias("w"))
     cases = [F.when(F.col("k") == k, shingles_col(F.col("w"), k)) for k in ks]
-    spread = cut.select("doc_id", "start", "length", F.explode(F.coalesce(*cases)).alias("h"))
-    key = ["doc_id", "start", "length"]
+    key = ["doc_id", "body", "start", "length"]
+    spread = cut.select(*key, F.explode(F.coalesce(*cases)).alias("h"))
     parts = spread.groupBy(*key, "h").agg(F.count("*").alias("c")).join(hinted(weights, few), "h", "left")
     parts = checkpointed(spark, parts)
     # A null weight: a shingle of no item.
