@@ -103,6 +103,17 @@ def test_mix_extra_copies_are_exact_across_slices(spark, docs, monkeypatch):
     assert ((by["taken"] - by["target"]).abs() <= 3).all()
 
 
+def test_mix_of_null_and_repeated_ids_meets_targets(spark, docs):
+    texts = [f"a b {i % 50}" for i in range(300)] + ["c d"] * 200 + ["e f g h"] * 300 + [f"i {i % 3}" for i in range(200)]
+    sources = ["null"] * 500 + ["repeated"] * 300 + ["mixed"] * 200
+    ids = [None] * 500 + [7] * 300 + [i % 20 if i % 2 else None for i in range(200)]
+    # One source is cut, one grows, one is full.
+    got = mixing.report(spark, docs(texts, sources=sources, ids=ids).repartition(5)).toPandas()
+    assert len(got) == len(texts)
+    by = got.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert len(by) == 3 and ((by["taken"] - by["target"]).abs() <= 3).all()
+
+
 # Tokens
 
 

@@ -13,9 +13,10 @@ Rates become copies in two steps. Per source, from the largest size down, each
 (source, size) bin gets the whole number of copies nearest to its expected words
 plus what the larger sizes left over or took too much; what remains at the end is
 less than the smallest sizes can settle. Inside a bin all documents have one
-rate; each gets the whole part, and those with the smallest hash of their id one
-copy more until the bin's number is reached. Bins of many documents are ranked in
-slices, so no bin lands in one task.
+rate; each gets the whole part, and those with the smallest hash of their id and
+text one copy more until the bin's number is reached. Rows with one hash are equal
+in all that is read; where the number ends among them, they are taken as they are
+stored. Bins of many documents are ranked in slices, so no bin lands in one task.
 
 Sources are ordered by code point, null last, and weigh 5, 2, 1, 5, ... A null
 text has size 0 and is taken 0 times; so is everything if nothing has a word.
@@ -133,7 +134,7 @@ def mix(
     names = ("size", "source_size", "target", "rate", "copies")
     docs = docs.drop(*[n for n in names if n in docs.columns])
     sized = docs.withColumn("size", word_count(F.col("text")))
-    slim = checkpointed(spark, sized.select("source", "size", F.xxhash64("doc_id").alias("draw")))
+    slim = checkpointed(spark, sized.select("source", "size", F.xxhash64("doc_id", "text").alias("draw")))
     bins = checkpointed(spark, slim.groupBy("source", "size").agg(F.count("*").alias("n")))
     sizes = bins.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"))
     goals = targets(sizes, weights, share, cap)
@@ -157,12 +158,14 @@ def mix(
     source_facts = spark.createDataFrame(
         [(s, int(words[s]), float(goals[s])) for s in goals] or [], "source string, source_size bigint, target double")
 
-    sized = sized.withColumn("_draw", F.xxhash64("doc_id"))
+    sized = sized.withColumn("_draw", F.xxhash64("doc_id", "text"))
     d = dealt.select("source", "size", "rate", F.floor(F.col("copies") / F.col("n")).alias("whole"))
     out = _join(_join(sized, _hinted(d), ["source", "size"]), source_facts, ["source"])
     out = _join(out, _hinted(picked.withColumnRenamed("draw", "_draw")), ["source", "size", "_draw"])
-    copies = (F.coalesce("whole", F.lit(0)) + F.coalesce("extra", F.lit(0))).cast("long")
-    return out.withColumn("copies", copies).withColumn("rate", F.coalesce("rate", F.lit(0.0))).drop("whole", "extra", "_draw")
+    if not picked.where("extra < k").isEmpty():
+        out = out.where("extra IS NULL OR extra = k").unionByName(_dealt_one_by_one(spark, out.where("extra < k")))
+    copies = (F.coalesce("whole", F.lit(0)) + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("long")
+    return out.withColumn("copies", copies).withColumn("rate", F.coalesce("rate", F.lit(0.0))).drop("whole", "extra", "k", "_draw")
 
 
 def _hinted(df: DataFrame) -> DataFrame:
@@ -178,11 +181,10 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _extra_copies(slim: DataFrame, dealt: DataFrame) -> DataFrame:
-    """(source, size, draw, extra): the draws of a bin that get one copy more than its whole part.
+    """(source, size, draw, k, extra): the draws of a bin of which `extra` of `k` rows get one copy more than its whole part.
 
-    Rows with one draw (repeats of an id) share a fate; a draw that straddles
-    the limit is left out. Big bins are cut into slices of the hash range,
-    counted, and only then ranked.
+    Only the draw at the limit can have more rows than extras. Big bins are cut
+    into slices of the hash range, counted, and only then ranked.
     """
     short = dealt.select("source", "size", "n", (F.col("copies") % F.col("n")).alias("more")).where("more > 0")
     rows = _join(slim.groupBy("source", "size", "draw").agg(F.count("*").alias("k")), short, ["source", "size"]).where("more > 0")
@@ -195,7 +197,20 @@ def _extra_copies(slim: DataFrame, dealt: DataFrame) -> DataFrame:
     starts = counts.select("source", "size", "slice", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("start"))
     inside = Window.partitionBy("source", "size", "slice").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
     ranked = _join(rows, starts, ["source", "size", "slice"]).withColumn("upto", F.col("start") + F.sum("k").over(inside))
-    return ranked.where("upto <= more").select("source", "size", "draw", F.lit(1).alias("extra"))
+    extra = F.least(F.col("k"), F.col("more") - (F.col("upto") - F.col("k")))
+    return ranked.select("source", "size", "draw", "k", extra.alias("extra")).where("extra > 0")
+
+
+def _dealt_one_by_one(spark: SparkSession, torn: DataFrame) -> DataFrame:
+    """The rows of draws with fewer extras than rows, with `extra` 1 for the first ones as stored, 0 for the others."""
+    # Numbered once written, by the task that wrote them, so that no draw is ranked in one task.
+    rows = checkpointed(spark, torn.withColumn("_row", F.monotonically_increasing_id())).withColumn("_task", F.shiftright("_row", 33))
+    counts = rows.groupBy("_draw", "source", "size", "_task").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_draw", "source", "size").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_draw", "source", "size", "_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_draw", "source", "size", "_task").orderBy("_row")
+    ranked = _join(rows, starts, ["_draw", "source", "size", "_task"]).withColumn("_at", F.col("_start") + F.row_number().over(inside))
+    return ranked.withColumn("extra", F.when(F.col("_at") <= F.col("extra"), 1).otherwise(0).cast("long")).drop("_row", "_task", "_start", "_at")
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
