@@ -185,6 +185,22 @@ def test_chat_round_trip_and_sharing(spark, monkeypatch):
     assert max(s["k"] for s in sizes) > 50 and sum(s["n"] for s in sizes) < sum(w[4] for w in want.values())
 
 
+def test_chat_hot_prompt_and_null_id(spark):
+    prompt = "p" * 300
+    rows = [(c, n, "system" if n == 0 else "user", prompt if n == 0 else f"question {c}") for c in range(400) for n in (0, 1)]
+    rows += [(900, 0, "system", prompt), (901, 0, "user", "y" * 5000), (None, 0, "user", "only here")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    packs, members = chat.format_chat(spark, turns, 2000)
+    packs = packs.selectExpr("text", "length(text) AS n", "size(leaves) AS k").collect()
+    assert all(p["n"] <= 2000 or p["k"] == 1 for p in packs)
+    hot = [p for p in packs if prompt in p["text"]]
+    assert all(p["text"].count(prompt) == 1 for p in hot) and sum(p["k"] for p in hot) == 401
+    own, above = len(chat.turn_text("user", "question 100")), len(chat.turn_text("system", prompt))
+    assert len(hot) <= 400 // ((2000 - above) // own) + 3
+    got = {r["conv_id"]: r["n_turns"] for r in chat.read_back(*chat.format_chat(spark, turns, 2000)).collect()}
+    assert got == {**dict.fromkeys(range(400), 2), 900: 1, 901: 1, None: 1}
+
+
 def test_chat_of_nothing(spark):
     turns = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.read_back(*chat.format_chat(spark, turns)).count() == 0

@@ -14,11 +14,13 @@ of turns in depth-first order, each shared turn written once. A pack carries
   of those turns whose interval [start, until) holds it: exactly its ancestors;
 * per conversation (`leaves`): the digest of its content and its last turn.
 
-A pack is bounded by `limit` characters, or holds one conversation. A
-conversation goes to the pack of the first of its prefixes whose conversations
-fit into one pack; a hot first turn so splits into many packs, each with its
-own copy of the shared turns above. Equal conversations are stored
-once and joined back by digest.
+A pack is bounded by `limit` characters, or holds one conversation. The turns
+after the first of a conversation's prefixes that fits into a pack, each shared
+turn counted once, stay together. Below a prefix that is too large, such parts
+are dealt in the order of their digests into packs filled up to the limit; a hot
+first turn so is written once per pack. Parts are dealt in slices of the digest
+range, of about `SLICE_PACKS` packs each, so no prefix lands in one task. Equal
+conversations are stored once and joined back by digest.
 
 A null role or text counts as empty. Turns are ordered by (turn, role, text),
 so ties and repeated rows have one order. Other columns are not read.
@@ -30,7 +32,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonecast.llm.base import per_row
@@ -38,6 +40,9 @@ from zonecast.session import checkpointed
 
 START, END = "<|im_start|>", "<|im_end|>"
 PACK_LIMIT = 65_536
+SLICE_PACKS = 32
+#: Prefixes too large for a pack are broadcast up to so many.
+BROADCAST_ROWS = 300_000
 
 _open = re.compile(r"<(\\*)\|")
 _shut = re.compile(r"<(\\*)\\\|")
@@ -142,22 +147,71 @@ def paths(turns: DataFrame) -> DataFrame:
 
     def row(conv_id, turns):
         digests, lengths = path_of(as_pairs(turns))
-        return conv_id, turns, digests, digests[-1], sum(lengths)
-
-    return per_row(whole, row, "conv_id bigint, turns array<struct<role:string,text:string>>, path array<string>, digest string, chars bigint")
+        return conv_id, turns, digests, digests[-1], lengths
+
+    return per_row(whole, row, "conv_id bigint, turns array<struct<role:string,text:string>>, path array<string>, digest string, lengths array<bigint>")
+
+
+def parts_of(spark: SparkSession, distinct: DataFrame, limit: int) -> DataFrame:
+    """(digest, part, above, above_chars, own): the part each conversation belongs to.
+
+    `part` is its first prefix of which the whole tree fits into a pack, else the
+    conversation itself; `above` is the prefix it hangs from (null at the top),
+    `above_chars` the length of that, `own` what the part adds to it.
+    """
+    steps = checkpointed(spark, distinct.select("digest", "lengths", F.posexplode("path").alias("depth", "prefix")).select(
+        "digest", "depth", "prefix", F.get("lengths", F.col("depth")).alias("length"),
+        F.aggregate(F.slice("lengths", F.lit(1), F.col("depth") + 1), F.lit(0).cast("long"), lambda a, x: a + x).alias("upto")))
+    # Each turn of the forest is counted in the first conversation that has it; what follows a prefix is summed over these.
+    owners = steps.groupBy("prefix").agg(F.min("digest").alias("digest")).withColumn("own", F.lit(1))
+    below = Window.partitionBy("digest").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = steps.join(owners, ["digest", "prefix"], "left").withColumn("new", F.when(F.col("own") == 1, F.col("length")).otherwise(0))
+    follows = counted.withColumn("follows", F.coalesce(F.sum("new").over(below), F.lit(0)))
+    sizes = checkpointed(spark, follows.groupBy("prefix").agg((F.max("upto") + F.sum("follows")).alias("size")))
+    # Hot prefixes are all among those too large for a pack, of which there are few.
+    large = sizes.where(F.col("size") > limit).select("prefix", F.lit(True).alias("large"))
+    marked = steps.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "prefix", "left")
+    facts = marked.groupBy("digest").agg(
+        F.min(F.when(F.col("large").isNull(), F.struct("depth", "prefix"))).alias("first"),
+        F.max(F.when(F.col("large"), F.struct("depth", "prefix", "upto"))).alias("last"))
+    named = facts.select("digest", F.col("first.prefix").alias("prefix"), "last").join(sizes, "prefix", "left")
+    above = F.coalesce("last.upto", F.lit(0))
+    return named.select(
+        "digest", F.coalesce("prefix", "digest").alias("part"), F.col("last.prefix").alias("above"), above.alias("above_chars"),
+        F.coalesce(F.col("size") - above, F.lit(0)).alias("own"))
+
+
+def packed(parts: DataFrame, limit: int) -> DataFrame:
+    """(part, pack): parts below one prefix dealt into packs in the order of their names; parts at the top are packs."""
+    once = parts.drop("digest").distinct()
+    hung = once.where("above IS NOT NULL")
+    room = F.greatest(F.lit(1), F.lit(limit) - F.col("above_chars"))
+    totals = hung.groupBy("above").agg(F.ceil(F.sum("own") / (F.max(room) * SLICE_PACKS)).alias("slices"))
+    # Names are hexadecimal digests: equal ranges of them hold about equally many.
+    place = F.conv(F.substring("part", 1, 7), 16, 10).cast("long")
+    sliced = hung.join(totals, "above").withColumn("slice", F.shiftright(place * F.greatest(F.lit(1), F.col("slices")), 28))
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        packs, at, pack = [], 0, None
+        for part, own, above in zip(rows["part"], rows["own"], rows["above_chars"]):
+            if pack is None or above + at + own > limit:
+                pack, at = part, 0
+            at += own
+            packs.append(pack)
+        return pd.DataFrame({"part": rows["part"], "pack": packs})
+
+    dealt = sliced.select("above", "slice", "part", "own", "above_chars").groupBy("above", "slice").applyInPandas(deal, "part string, pack string")
+    return dealt.union(once.where("above IS NULL").select("part", F.col("part").alias("pack")))
 
 
 def format_chat(spark: SparkSession, turns: DataFrame, limit: int = PACK_LIMIT) -> tuple[DataFrame, DataFrame]:
     """The packs, and the members: which conversation has which content digest."""
     conversations = checkpointed(spark, paths(turns))
     members = conversations.select("conv_id", "digest")
-    first = conversations.groupBy("digest").agg(F.min("conv_id").alias("conv_id"))
-    distinct = conversations.join(first, ["digest", "conv_id"], "left_semi").dropDuplicates(["digest"])
-
-    steps = distinct.select("digest", "chars", F.posexplode("path").alias("depth", "prefix"))
-    sizes = steps.groupBy("prefix").agg(F.sum("chars").alias("size")).where(F.col("size") <= limit)
-    packed = steps.join(sizes, "prefix").groupBy("digest").agg(F.min_by("prefix", "depth").alias("pack"))
-    placed = distinct.join(packed, "digest", "left").select(F.coalesce("pack", "digest").alias("pack"), "turns")
+    distinct = checkpointed(spark, conversations.dropDuplicates(["digest"]))
+    parts = checkpointed(spark, parts_of(spark, distinct.select("digest", "path", "lengths"), limit))
+    placed = distinct.join(parts, "digest").join(packed(parts, limit), "part").select("pack", "turns")
 
     def build(pack: pd.DataFrame) -> pd.DataFrame:
         contents = sorted(as_pairs(t) for t in pack["turns"])
