@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.llm import chat, classifier, decontam, langid, lm, mixing, pii, rules, setjoin, tokens
+from zonecast.llm import chat, classifier, decontam, divergence, langid, lm, manifest, mixing, neardup, pii, rules, setjoin, tokens
 from zonecast.llm.base import documents
 from zonecast.sources import tables
 
@@ -58,13 +58,26 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(spark, documents(spark, folder))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.audit(spark, documents(spark, folder))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(spark, documents(spark, folder))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(spark, tables.table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii, op2_source_mix, op3_quality_classifier, op4_token_counts, op5_quality_rules, op6_jaccard_join, op7_chat_format,
-        op8_lm_scoring, op9_decontamination, op10_language_id,
+        op8_lm_scoring, op9_decontamination, op10_language_id, op11_merkle_manifest, op12_source_divergence, op13_embedding_near_dedup,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": rules.SQL, "op6_jaccard_join": setjoin.SQL, "op7_chat_format": chat.SQL, "op9_decontamination": decontam.SQL,
+    "op11_merkle_manifest": manifest.SQL, "op12_source_divergence": divergence.SQL, "op13_embedding_near_dedup": neardup.SQL,
 }
