@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecast.session import checkpointed
@@ -46,42 +46,42 @@ LEAST_DOCS = 10
 TOP = 10
 SHARE = 10**9
 #: Entries of a counting table that is handed on when it has grown to this.
-HELD = 200_000
+HELD = 300_000
+#: Documents after which a table is handed on at the latest.
+HELD_DOCS = 1 << 20
+#: A held entry is the occurrences plus this for each document; both fit into 63 bits for HELD_DOCS documents.
+DOC = 1 << 40
 #: Bytes of UTF-8 that belong to terms: letters of ASCII and all of other characters.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
-_COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """Occurrences and documents per (lang, source, term), combined per task; rows may repeat a key."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+    """Occurrences and documents per (l, g, term) of rows (text, l, g), combined per task; rows may repeat a key."""
+    names = ["l", "g", "term", "n", "docs"]
 
-    def emit(held: dict) -> pa.RecordBatch:
-        rows = [(lang, source, term, both) for (lang, source), terms in held.items() for term, both in terms.items()]
-        lang, source, term, both = zip(*rows)
-        counts = [b & 0xFFFFFFFFFFFF for b in both], [b >> 48 for b in both]
-        terms = pa.array(term, pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), terms, *map(pa.array, counts)], schema=schema)
+    def emit(held: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, group), terms in held.items():
+            both = np.fromiter(terms.values(), dtype=np.int64, count=len(terms))
+            keys = [pa.repeat(pa.scalar(k, pa.int64()), len(terms)) for k in (lang, group)]
+            term = pa.array(list(terms), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*keys, term, pa.array(both & (DOC - 1)), pa.array(both // DOC)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, dict[bytes, int]] = {}
-        size = 0
+        size = read = 0
         for batch in batches:
-            for text, lang, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                terms = held.setdefault((lang, source), {})
+            for text, lang, group in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                terms = held.setdefault((lang, group), {})
                 before, get = len(terms), terms.get
                 for term, n in Counter(TERM.findall(text.encode("utf-8", "surrogatepass").lower())).items():
-                    # The occurrences below, the documents above bit 48.
-                    terms[term] = get(term, 0) + n + 0x1000000000000
-                size += len(terms) - before
-                if size >= HELD:
-                    yield emit(held)
-                    held, size = {}, 0
-        if size:
-            yield emit(held)
+                    terms[term] = get(term, 0) + n + DOC
+                size, read = size + len(terms) - before, read + 1
+                if size >= HELD or read >= HELD_DOCS:
+                    yield from emit(held)
+                    held, size, read = {}, 0, 0
+        yield from emit(held)
 
-    read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return read.mapInArrow(run, _COUNTS)
+    return docs.select("text", "l", "g").mapInArrow(run, "l bigint, g bigint, term string, n bigint, docs bigint")
 
 
 def share(count: int, total: int, terms: int) -> int:
@@ -145,21 +145,21 @@ def stretch_values(offsets: np.ndarray, group: np.ndarray, count: np.ndarray, te
     return a, b, np.array([pair_value(columns[i], columns[j], size) for i, j in zip(a, b)], dtype=np.int64)
 
 
-_STRETCH = "lang string, vectors array<array<struct<s: int, n: bigint>>>, terms array<bigint>"
+_STRETCH = "l bigint, vectors array<array<struct<s: int, n: bigint>>>, terms array<bigint>"
 
 
 def stretches(rows: DataFrame) -> DataFrame:
-    """Sorted rows (lang, vector, terms) as one row per batch and language."""
+    """Sorted rows (l, vector, terms) as one row per batch and language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            langs = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), len(langs)]
             for low, high in zip(cuts, cuts[1:]) if len(langs) else ():
                 both = [pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), batch.column(i).slice(low, high - low)) for i in (1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array([langs[low]], pa.string()), *both], names=["lang", "vectors", "terms"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(langs[low])], pa.int64()), *both], names=["l", "vectors", "terms"])
 
-    return rows.select("lang", "vector", "terms").mapInArrow(run, _STRETCH)
+    return rows.select("l", "vector", "terms").mapInArrow(run, _STRETCH)
 
 
 def pair_sums(packs: DataFrame) -> DataFrame:
@@ -174,57 +174,64 @@ def pair_sums(packs: DataFrame) -> DataFrame:
                 found = stretch_values(
                     rows.offsets.to_numpy() - rows.offsets[0].as_py(), cells.field("s").to_numpy(), cells.field("n").to_numpy(),
                     terms[i].values.to_numpy(), totals[i].values.to_numpy(), v[i].as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang[i].as_py()] * len(found[0]), pa.string()), *[pa.array(x.astype(np.int64)) for x in found]], names=["lang", "a", "b", "f"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang[i], len(found[0])), *[pa.array(x.astype(np.int64)) for x in found]], names=["l", "a", "b", "f"])
 
-    return packs.select("lang", "vectors", "terms", "totals", "v").mapInArrow(run, "lang string, a bigint, b bigint, f bigint")
+    return packs.select("l", "vectors", "terms", "totals", "v").mapInArrow(run, "l bigint, a bigint, b bigint, f bigint")
 
 
 def divergence(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(lang, source, part, item, value, rank) for all pairs of sources of a language and each group's leading terms."""
-    blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    groups = checkpointed(spark, docs.select(*blank).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_docs")).drop("_docs"))
-    counted = term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    by_term = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("source", "n")).alias("by_source"))
+    texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
+    # Numbers stand for languages (l) and groups (g) in all that is shuffled by term.
+    groups = checkpointed(spark, texts.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_docs")).drop("_docs"))
+    groups = checkpointed(spark, groups.withColumn("g", F.monotonically_increasing_id()))
+    langs = groups.groupBy("lang").agg(F.min("g").alias("l"))
+    groups = checkpointed(spark, groups.join(langs, "lang"))
+    counted = term_counts(texts.join(groups, ["lang", "source"])).groupBy("l", "g", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = counted.groupBy("l", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("g", "n")).alias("by_group"))
     kept = checkpointed(spark, by_term.where(F.col("docs") >= LEAST_DOCS).drop("docs"))
 
-    # Per language: V and N; per group: N and a number, the largest group first.
-    by_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
-    by_group = kept.select("lang", F.explode("by_source").alias("e")).groupBy("lang", "e.source").agg(F.sum("e.n").alias("total"))
-    sized = groups.join(by_group, ["lang", "source"], "left").fillna(0, subset=["total"])
-    tables = sized.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("less"), "source"))).alias("sorted"))
-    tables = checkpointed(spark, tables.join(by_lang, "lang", "left").select(
-        "lang", F.col("sorted.source").alias("sources"), F.transform("sorted", lambda e: -e["less"]).alias("totals"), F.coalesce("v", F.lit(0)).alias("v"), "lang_total"))
-    numbers = checkpointed(spark, tables.select("lang", F.posexplode("sources").alias("s", "source"), "totals", "v", "lang_total").select(
-        "lang", "source", "s", F.get("totals", F.col("s")).alias("total"), "v", "lang_total"))
+    # Per language: V and N; per group: N and its number s in the language, the largest group first.
+    by_lang = kept.groupBy("l").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
+    by_group = kept.select(F.explode("by_group").alias("e")).groupBy("e.g").agg(F.sum("e.n").alias("total"))
+    sized = groups.select("l", "g").join(by_group, "g", "left").fillna(0, subset=["total"])
+    tables = sized.groupBy("l").agg(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("less"), "g"))).alias("sorted"))
+    tables = checkpointed(spark, tables.join(by_lang, "l", "left").select(
+        "l", F.col("sorted.g").alias("gs"), F.transform("sorted", lambda e: -e["less"]).alias("totals"), F.coalesce("v", F.lit(0)).alias("v"), "lang_total"))
+    numbers = tables.select("l", F.posexplode("gs").alias("s", "g"), "totals", "v", "lang_total")
+    numbers = checkpointed(spark, numbers.withColumn("total", F.get("totals", "s")).drop("totals").join(groups.drop("l"), "g"))
 
     # Part pair: equal vectors of counts together, sorted by vector, run by run.
-    cells = kept.select("lang", "term", "lang_n", F.explode("by_source").alias("e")).select("lang", "term", "lang_n", "e.source", "e.n")
-    cells = checkpointed(spark, cells.join(numbers, ["lang", "source"]))
-    vectors = cells.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("vector"))
-    alike = vectors.groupBy("lang", "vector").agg(F.count(F.lit(1)).alias("terms"))
+    cells = kept.select("l", "term", "lang_n", F.explode("by_group").alias("e")).select("l", "term", "lang_n", "e.g", "e.n")
+    cells = checkpointed(spark, cells.join(numbers.select("g", "s", "total", "v", "lang_total"), "g"))
+    vectors = cells.groupBy("l", "term").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("vector"))
+    alike = vectors.groupBy("l", "vector").agg(F.count(F.lit(1)).alias("terms"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = alike.repartitionByRange(parts, "lang", "vector").sortWithinPartitions("lang", "vector")
+    columns = alike.repartitionByRange(parts, "l", "vector").sortWithinPartitions("l", "vector")
     packs = checkpointed(spark, stretches(columns))
-    summed = pair_sums(packs.join(tables, "lang")).groupBy("lang", "a", "b").agg(F.sum("f").alias("f"))
-    number = lambda name: numbers.select("lang", F.col("s").alias(name[0]), F.col("source").alias(name))
-    found = summed.join(number("a_source"), ["lang", "a"]).join(number("b_source"), ["lang", "b"])
-    both = F.explode(F.array(F.struct(F.col("a_source").alias("source"), F.col("b_source").alias("item")), F.struct(F.col("b_source").alias("source"), F.col("a_source").alias("item"))))
-    found = found.select("lang", both.alias("x"), "f").select("lang", "x.source", "x.item", "f")
+    summed = pair_sums(packs.join(tables, "l")).groupBy("l", "a", "b").agg(F.sum("f").alias("f"))
+
+    def named(number: str, name: str) -> DataFrame:
+        return numbers.select("l", F.col("s").cast("long").alias(number), F.col("source").alias(name))
+
+    found = summed.join(named("a", "x"), ["l", "a"]).join(named("b", "y"), ["l", "b"])
+    ways = F.array(F.struct(F.col("x").alias("source"), F.col("y").alias("item")), F.struct(F.col("y").alias("source"), F.col("x").alias("item")))
+    found = found.select("l", "f", F.explode(ways).alias("way")).select("l", "f", "way.source", "way.item")
     # The result itself has a row for every two sources of a language, also where no term is kept.
-    every = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
-    pairs = every.join(found, ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("f", F.lit(0)).cast("long").alias("value"))
+    every = groups.select("lang", "l", "source").join(groups.select("l", F.col("source").alias("item")), "l").where("source <> item")
+    pairs = every.join(found, ["l", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("f", F.lit(0)).cast("long").alias("value"))
 
-    # Part term: all cells above the language's share.
-    def share_of(count: str, total: str) -> F.Column:
+    # Part term: all cells above the language's share; the leading ones get their names last.
+    def share_of(count: str, total: str) -> Column:
         return F.expr(f"1 + CAST({SHARE} AS DECIMAL(10,0)) * CAST({count} + 2 AS DECIMAL(19,0)) DIV CAST({total} + 2 * v AS DECIMAL(19,0))")
 
-    shared = cells.select("lang", "source", F.col("term").alias("item"), share_of("n", "total").alias("p"), share_of("lang_n", "lang_total").alias("q"))
-    terms = shared.where("p > q").select("lang", "source", F.lit("term").alias("part"), "item", F.expr("(p - q) * (p - q) DIV (p + q)").alias("value"))
-    ranked = "row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)"
-    pairs = pairs.withColumn("rank", F.expr(ranked))
-    terms = terms.withColumn("rank", F.expr(ranked)).where(f"rank <= {TOP}")
-    return pairs.unionByName(terms).withColumn("rank", F.col("rank").cast("int"))
+    shared = cells.select("g", F.col("term").alias("item"), share_of("n", "total").alias("p"), share_of("lang_n", "lang_total").alias("q"))
+    terms = shared.where("p > q").select("g", "item", F.expr("(p - q) * (p - q) DIV (p + q)").alias("value"))
+    ranked = "row_number() OVER (PARTITION BY {} ORDER BY value DESC, item)"
+    terms = terms.withColumn("rank", F.expr(ranked.format("g"))).where(f"rank <= {TOP}").join(groups.drop("l"), "g")
+    pairs = pairs.withColumn("rank", F.expr(ranked.format("lang, source")))
+    names = ["lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank")]
+    return pairs.select(names).unionByName(terms.withColumn("part", F.lit("term")).select(names))
 
 
 _WORDS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
