@@ -293,6 +293,40 @@ def test_decontamination_of_repeated_ids(spark, docs):
     assert [r["doc_id"] for r in decontam.clean_of(spark, table, bench).collect()] == [7, 7]
 
 
+def test_every_text_of_an_item_and_documents_without_id_are_looked_at(spark, docs):
+    item = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abc"}
+    bench = spark.createDataFrame([(1, item["b"]), (1, item["a"]), (None, item["c"]), (1, item["a"])], "item_id bigint, text string")
+    table = docs([item["a"], item["b"], item["c"], "clean words", item["c"], "other words", None], ids=[1, 2, 3, 4, None, None, None], extra=True)
+    got = {(r["doc_id"], r["item_id"], r["similarity"]) for r in decontam.contaminated(spark, table, bench).collect()}
+    assert got == {(1, 1, 1.0), (2, 1, 1.0), (3, None, 1.0), (None, None, 1.0)}
+    left = decontam.clean_of(spark, table, bench)
+    assert left.columns == table.columns
+    assert sorted([(r["doc_id"], r["text"]) for r in left.collect()], key=str) == [(4, "clean words"), (None, "other words"), (None, None)]
+
+
+def test_decontamination_equals_its_sql_on_shared_shingles_and_repeated_ids(spark, docs):
+    import duckdb
+
+    rng = random.Random(4)
+    stem = [f"s{i}" for i in range(40)]
+    items = [(i // 2, " ".join([*stem[:30], *[f"e{i}-{j}" for j in range(12)]])) for i in range(8)] + [(9, " ".join(stem)), (9, " ".join(stem)), (None, "x y z"), (5, "")]
+    texts, ids = [], []
+    for k in range(60):
+        words = items[rng.randrange(len(items))][1].split()
+        for at in rng.sample(range(len(words)), min(len(words), rng.randrange(0, 3))):
+            words[at] = f"q{rng.randrange(9)}"
+        texts.append(" ".join([f"f{k}" for k in range(rng.randrange(6))] + words + ["tail"] * rng.randrange(4)))
+        ids.append(rng.choice([None, 1, 2, 3, *range(10, 60)]))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.contaminated(spark, docs(texts, ids=ids), bench)
+    con = duckdb.connect()
+    con.register("documents", docs(texts, ids=ids).toPandas().astype({"doc_id": "Int64"}))
+    con.register("benchmark", bench.toPandas().astype({"item_id": "Int64"}))
+    want = con.execute(decontam.SQL).fetchall()
+    names = ("doc_id", "item_id", "start", "similarity")
+    assert len(want) > 20 and sorted([tuple(r[n] for n in names) for r in got.collect()], key=str) == sorted(want, key=str)
+
+
 def test_decontamination_of_nothing(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     assert decontam.contaminated(spark, docs(["x"]).limit(0), bench).count() == 0
@@ -374,3 +408,23 @@ def test_classifier_learns_grades(spark, docs):
 def test_classifier_without_ratings(spark, docs):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert [r["selected"] for r in classifier.select_quality(spark, docs(["a"]), labels).collect()] == [False]
+
+
+# Stages on tables with clashing names
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    names = ("k", "extra", "whole", "_draw", "rate", "size", "target", "copies", "source_size", "row", "draw", "more", "n")
+    texts = ["a b c", None, "a b c", "d " * 40, ""]
+    table = docs(texts, sources=["x", None, "x", "y", "y"], ids=[1, None, 1, None, 5])
+    for i, name in enumerate(names):
+        table = table.selectExpr("*", f"'v{i}' AS {name}")
+    mixed = mixing.mix(spark, table)
+    results = ("size", "source_size", "target", "rate", "copies")
+    assert mixed.columns == [f"given_{c}" if c in results else c for c in table.columns] + list(results)
+    rows = mixed.collect()
+    assert len(rows) == 5 and all(r[f"given_{n}" if n in results else n] == f"v{i}" for r in rows for i, n in enumerate(names))
+    plain = mixing.report(spark, docs(texts, sources=["x", None, "x", "y", "y"], ids=[1, None, 1, None, 5]))
+    assert sorted([(r["doc_id"], r["size"], r["copies"] * r["size"]) for r in rows], key=str) == sorted([(r["doc_id"], r["size"], r["taken"]) for r in plain.collect()], key=str)
+    hidden = pii.mask_pii(table)
+    assert hidden.columns == table.columns and hidden.count() == 5 and rules.cleaned(table).columns == table.columns
