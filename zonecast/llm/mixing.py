@@ -130,11 +130,15 @@ def settle(goal: float, tilt: float, sizes: list[int], counts: list[int], cap: f
 def mix(
     spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP,
 ) -> DataFrame:
-    """The documents with size, source_size, target, rate and copies; other columns stay."""
+    """The documents with size, source_size, target, rate and copies; other columns stay.
+
+    A column of `docs` with one of these names stays as `given_<name>`.
+    """
     names = ("size", "source_size", "target", "rate", "copies")
-    docs = docs.drop(*[n for n in names if n in docs.columns])
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    slim = checkpointed(spark, sized.select("source", "size", F.xxhash64("doc_id", "text").alias("draw")))
+    kept = [F.col(f"row.`{c}`").alias(f"given_{c}" if c in names else c) for c in docs.columns]
+    # Whatever their names, the columns travel in one struct.
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_draw"))
+    slim = checkpointed(spark, sized.select("source", "size", F.col("_draw").alias("draw")))
     bins = checkpointed(spark, slim.groupBy("source", "size").agg(F.count("*").alias("n")))
     sizes = bins.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"))
     goals = targets(sizes, weights, share, cap)
@@ -158,14 +162,13 @@ def mix(
     source_facts = spark.createDataFrame(
         [(s, int(words[s]), float(goals[s])) for s in goals] or [], "source string, source_size bigint, target double")
 
-    sized = sized.withColumn("_draw", F.xxhash64("doc_id", "text"))
     d = dealt.select("source", "size", "rate", F.floor(F.col("copies") / F.col("n")).alias("whole"))
     out = _join(_join(sized, _hinted(d), ["source", "size"]), source_facts, ["source"])
     out = _join(out, _hinted(picked.withColumnRenamed("draw", "_draw")), ["source", "size", "_draw"])
     if not picked.where("extra < k").isEmpty():
         out = out.where("extra IS NULL OR extra = k").unionByName(_dealt_one_by_one(spark, out.where("extra < k")))
     copies = (F.coalesce("whole", F.lit(0)) + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("long")
-    return out.withColumn("copies", copies).withColumn("rate", F.coalesce("rate", F.lit(0.0))).drop("whole", "extra", "k", "_draw")
+    return out.select(*kept, "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), copies.alias("copies"))
 
 
 def _hinted(df: DataFrame) -> DataFrame:
