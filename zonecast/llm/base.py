@@ -64,3 +64,33 @@ def per_row(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFrame:
         return dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
 
     return per_batch(df, run, schema)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows, so that Python objects are made for a few rows at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def rewritten(docs: DataFrame, fn: Callable[[str], str | None], keep_nulls: bool = False) -> DataFrame:
+    """The documents with `fn` of each text, in one pass; those it gives null for are dropped.
+
+    Documents without a text are dropped, or stay as they are with `keep_nulls`.
+    `n_chars`, where there is one, is counted anew; all other columns stay.
+    """
+    names = docs.columns
+    at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            given = batch.column(at).to_pylist()
+            texts = [None if t is None else fn(t) for t in given]
+            kept = [t is not None or (keep_nulls and g is None) for t, g in zip(texts, given)]
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            if counted is not None:
+                columns[counted] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(counted).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.llm.base import per_row
+from zonecast.llm.base import per_row, rewritten
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "address", "account")
@@ -272,7 +272,5 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """The documents with personal data replaced in `text` and `n_chars` counted anew; other columns stay."""
-    hide = F.pandas_udf(lambda texts: texts.map(masked, na_action="ignore"), "string")
-    out = docs.withColumn("text", hide("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    """The documents with personal data replaced in `text` and `n_chars` counted anew; null texts (then with a null `n_chars`) and other columns stay."""
+    return rewritten(docs, masked, keep_nulls=True)

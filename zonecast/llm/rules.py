@@ -27,7 +27,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.llm.base import per_row
+from zonecast.llm.base import per_row, rewritten
 
 MIN_WORDS = 50
 REPEAT_SHARE = 50
@@ -121,11 +121,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their failing lines; all columns stay, `n_chars` is counted anew."""
-    strip = F.pandas_udf(
-        lambda texts: texts.map(lambda t: found["text"] if (found := clean(t))["kept"] else None, na_action="ignore"), "string"
-    )
-    out = docs.withColumn("text", strip("text")).where("text IS NOT NULL")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return rewritten(docs, lambda text: found["text"] if (found := clean(text))["kept"] else None)
 
 
 def _sql() -> str:

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from zonecast.llm.base import lower_words_of
+from zonecast.llm.base import lower_words_of, sliced, sliced
 from zonecast.llm.links import components
 from zonecast.session import checkpointed
 
@@ -102,7 +102,7 @@ def counters(docs: DataFrame, k: int) -> DataFrame:
         total = np.zeros(SKETCH, np.int64)
         mask = np.uint64(SKETCH - 1)
         waiting, size = [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 waiting.append((shingles(text, k) & mask).astype(np.int64))
                 size += len(waiting[-1])
@@ -144,7 +144,7 @@ def signatures(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> Da
     def run(batches):
         from xxhash import xxh128_digest
 
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, digests, prefixes = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, k)
@@ -166,7 +166,7 @@ def index(sets: DataFrame) -> DataFrame:
     """(shingle, id, n, at): the lists, one row per set and prefix position, lists of one set left out."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
             parts = [np.frombuffer(p, np.int64) for p in b.column(2).to_pylist()]
             lengths = np.array([len(p) for p in parts], np.int64)
@@ -215,7 +215,7 @@ def fetch(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataF
     def run(batches):
         from xxhash import xxh128_digest
 
-        for b in batches:
+        for b in sliced(batches):
             items = [shingles(t, k).tobytes() for t in b.column(1).to_pylist()]
             kept = pa.array([len(x) > 0 for x in items], pa.bool_())
             out = pa.RecordBatch.from_arrays(
@@ -233,7 +233,7 @@ def compared(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, per
     sets = checkpointed(spark, fetch(spark, docs, ids, k))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = {"linked": [], "apart": [], "delta": []}
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -361,7 +361,7 @@ def meeting_often(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the stored pairs whose prefixes share as many shingles as those of linked sets do."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             prefixes = [[np.frombuffer(p, np.int64) for p in b.column(i).to_pylist()] for i in (3, 4)]
             met = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*prefixes)], np.int64)
             yield b.select(["a", "b"]).filter(pa.array(met >= b.column(2).to_numpy()))
