@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +43,14 @@ def out_of_fold(models: Sequence[Booster], assigned: DataFrame, n_folds: int, fe
     return whole
 
 
+@dataclass
+class Linear:
+    """The meta model's numbers, as they are stored."""
+
+    intercept: float
+    coefficients: list[float]
+
+
 class Stacking:
     """Ridge regression on out-of-fold predictions of the base models.
 
@@ -68,7 +77,8 @@ class Stacking:
             # alpha / n makes Spark's penalty equal to alpha * |w|^2 over the summed squares.
             ridge = LinearRegression(featuresCol="base", labelCol=label, regParam=self.alpha / rows.count(),
                                      elasticNetParam=0.0, standardization=False, predictionCol="stacked")
-            self.meta = ridge.fit(rows)
+            fit = ridge.fit(rows)
+            self.meta = Linear(float(fit.intercept), [float(c) for c in fit.coefficients])
         finally:
             rows.unpersist()
         self.fitted = [m.unfitted().fit(indexed, features, label) for m in self.models]

@@ -17,9 +17,11 @@ from zonecast.operators import explain as ex
 from zonecast.operators import folds as fd
 from zonecast.operators import geo
 from zonecast.operators import modeling as mo
+from zonecast.operators import scoring as sc
 from zonecast.operators import selecting as se
 from zonecast.operators import temporal as tp
 from zonecast.session import checkpointed
+from zonecast.sources.models import ModelRegistry, Version
 
 
 def build_features(spark: SparkSession, panel: DataFrame, lagged: bool = True, dense: bool = False) -> DataFrame:
@@ -149,11 +151,12 @@ def retrain(spark: SparkSession, history: DataFrame, recent: DataFrame, versions
             settings: Settings | None = None) -> DataFrame:
     """Replace the hours that `recent` covers, rebuild features, check drift, train if needed, promote if better.
 
-    `versions` is the model-version table: each promotion appends one row (model,
-    mape, promoted_at); its newest row is the champion. Returns one summary row.
-    Only the (timestamp, zone) rows that `recent` brings are replaced: a late
-    delivery of an old week leaves all other history as it is.
+    `versions` is the folder of a `ModelRegistry`: a promotion publishes the
+    challenger's model there as its newest version, the champion. Returns one
+    summary row. Only the (timestamp, zone) rows that `recent` brings are
+    replaced: a late delivery of an old week leaves all other history as it is.
     """
+    registry = ModelRegistry(spark, versions)
     panel = merge(history, recent)
     features = checkpointed(spark, build_features(spark, panel))
     names = mo.feature_columns(features)
@@ -162,23 +165,33 @@ def retrain(spark: SparkSession, history: DataFrame, recent: DataFrame, versions
         run = dr.drift_run(reference, features, columns=names).select(F.size("drifted_features").alias("d"), "alert").first()
         drifted, alert = run["d"], run["alert"]
         if not (alert or drifted > 3):
-            return spark.createDataFrame([(False, drifted, None, None, False)], _SUMMARY)
+            return spark.createDataFrame([(False, drifted, None, None, False, None)], _SUMMARY)
     result = train_all(spark, features, settings)
-    scores = result.leaderboard.select("model", "mape")
-    gate = ev.champion_gate(champion(spark, versions), scores).first()
-    if gate["promote"]:
-        row = spark.createDataFrame([(gate["challenger"], gate["new_mape"])], "model string, mape double")
-        row.withColumn("promoted_at", F.current_timestamp()).write.mode("append").parquet(versions)
-    return spark.createDataFrame([(True, drifted, gate["challenger"], gate["new_mape"], gate["promote"])], _SUMMARY)
+    scores = checkpointed(spark, result.leaderboard.select("model", "mape"))
+    best = ev.best_model(scores).first()
 
+    def better(champion: Version | None) -> bool:
+        return ev.champion_gate(_as_scores(spark, champion), scores).first()["promote"]
 
-_SUMMARY = "trained boolean, n_drifted bigint, challenger string, new_mape double, promoted boolean"
-_VERSIONS = "model string, mape double, promoted_at timestamp"
+    found = registry.promote(result.models[best["model"]], best["model"], best["mape"], better)
+    return spark.createDataFrame([(True, drifted, best["model"], best["mape"], found is not None, found.number if found else None)], _SUMMARY)
+
+
+_SUMMARY = "trained boolean, n_drifted bigint, challenger string, new_mape double, promoted boolean, version bigint"
+
+
+def _as_scores(spark: SparkSession, version: Version | None) -> DataFrame:
+    return spark.createDataFrame([(version.name, version.mape)] if version else [], "model string, mape double")
 
 
 def champion(spark: SparkSession, versions: str) -> DataFrame:
     """The newest promoted model (model, mape); no row before the first promotion."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(versions)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "model string, mape double")
-    return spark.read.schema(_VERSIONS).parquet(versions).orderBy(F.desc("promoted_at")).limit(1).select("model", "mape")
+    return _as_scores(spark, ModelRegistry(spark, versions).champion())
+
+
+def predict_with_champion(spark: SparkSession, features: DataFrame, versions: str) -> DataFrame:
+    """Score request features with the promoted model: columns it lacks are filled as for any request, or are 0."""
+    version, model = ModelRegistry(spark, versions).load()
+    whole = sc.impute(features)
+    missing = {c: F.lit(0.0) for c in version.features if c not in whole.columns}
+    return sc.predict(whole.withColumns(missing) if missing else whole, model.predict, version.label)
