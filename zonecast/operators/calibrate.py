@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.operators.ordering import bucket_of, quantiles
+from zonecast.session import checkpointed
 
 
 def calibration_curve(df: DataFrame, p: str = "pred", y: str = "demand", bins: int = 20) -> DataFrame:
@@ -49,17 +52,75 @@ def _weighted(df: DataFrame, p: str, y: str) -> DataFrame:
     )
 
 
+BLOCKS = "part bigint, low double, high double, total double, weight double"
+
+
+def pooled(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pool neighbours until means do not fall: rows (low, high, total, weight) sorted by value, the blocks back."""
+    lows, highs, totals, weights = [], [], [], []
+    for low, high, total, weight in zip(rows["low"], rows["high"], rows["total"], rows["weight"]):
+        while totals and totals[-1] * weight >= total * weights[-1]:
+            low, total, weight = lows.pop(), total + totals.pop(), weight + weights.pop()
+            highs.pop()
+        lows.append(low), highs.append(high), totals.append(total), weights.append(weight)
+    return pd.DataFrame({"low": lows, "high": highs, "total": totals, "weight": weights})
+
+
+def isotonic_blocks(df: DataFrame, p: str = "pred", y: str = "demand") -> DataFrame:
+    """(low, high, mean) of the blocks of the non-decreasing least-squares fit, pooled on the cluster.
+
+    Parts of the value range are pooled by themselves. Then neighbouring parts
+    are merged, two by two, in rounds: the left one's means above the first mean
+    of the right one and the right one's below the last of the left one are the
+    only blocks that can still change (a pooled mean lies between the two), so
+    only these border blocks meet in a task; all others stay where they are.
+    Merging is associative, and rounds are the logarithm of the number of parts.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    points = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).cast("double").alias("low")).agg(
+        F.sum(F.col(y).cast("double")).alias("total"), F.count(F.lit(1)).cast("double").alias("weight"))
+    dealt = points.select("low", F.col("low").alias("high"), "total", "weight").repartitionByRange(parts, "low").sortWithinPartitions("low")
+    numbered = checkpointed(spark, dealt.withColumn("part", F.spark_partition_id().cast("long")))
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        part = rows["part"].iloc[0]
+        return pooled(rows.sort_values("low")).assign(part=part)[["part", "low", "high", "total", "weight"]]
+
+    blocks = checkpointed(spark, numbered.groupBy("part").applyInPandas(merge, BLOCKS))
+    while parts > 1:
+        mean = F.col("total") / F.col("weight")
+        ends = blocks.groupBy("part").agg(F.min_by(mean, "low").alias("first"), F.max_by(mean, "low").alias("last"))
+        beside = ends.select(F.col("part").bitwiseXOR(F.lit(1)).alias("part"), "first", "last")
+        met = blocks.join(beside, "part", "left")
+        torn = F.when(F.col("part") % 2 == 0, mean >= F.col("first")).otherwise(mean <= F.col("last"))
+        marked = checkpointed(spark, met.select(F.shiftright("part", 1).alias("part"), "low", "high", "total", "weight", F.coalesce(torn, F.lit(False)).alias("torn")))
+        merged = marked.where("torn").drop("torn").groupBy("part").applyInPandas(merge, BLOCKS)
+        blocks = checkpointed(spark, marked.where("NOT torn").drop("torn").unionByName(merged))
+        parts = (parts + 1) // 2
+    return blocks.select("low", "high", (F.col("total") / F.col("weight")).alias("mean"))
+
+
 class Isotonic:
-    """Non-decreasing map of predictions; flat beyond both ends."""
+    """Non-decreasing map of predictions; linear between blocks, flat beyond both ends."""
 
     def fit(self, df: DataFrame, p: str = "pred", y: str = "demand") -> "Isotonic":
-        model = IsotonicRegression(featuresCol="feature", labelCol="label", weightCol="weight")
-        self.model = model.fit(_weighted(df, p, y))
+        # Only the borders and means of the blocks are taken to the driver.
+        blocks = isotonic_blocks(df, p, y).orderBy("low").toPandas()
+        self.edges = blocks[["low", "high"]].to_numpy().ravel()
+        self.levels = np.repeat(blocks["mean"].to_numpy(), 2)
         return self
 
     def transform(self, df: DataFrame, p: str = "pred", out: str = "calibrated") -> DataFrame:
-        as_feature = df.withColumn("feature", F.col(p).cast("double"))
-        return self.model.transform(as_feature).withColumnRenamed("prediction", out).drop("feature")
+        edges, levels = self.edges, self.levels
+
+        @F.pandas_udf("double")
+        def level(value: pd.Series) -> pd.Series:
+            x = value.to_numpy(dtype=float)
+            return pd.Series(np.where(np.isnan(x), np.nan, np.interp(x, edges, levels))) if len(edges) else pd.Series(np.full(len(x), np.nan))
+
+        value = level(F.col(p).cast("double"))
+        return df.withColumn(out, F.when(F.isnan(value), None).otherwise(value))
 
 
 class Sigmoid:

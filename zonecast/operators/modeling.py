@@ -45,7 +45,7 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # Settings of the three boosters (absolute error, small steps).
 BOOSTERS = {
     "gbt_l1": {"maxIter": 1000, "maxDepth": 7, "minInstancesPerNode": 20, "featureSubsetStrategy": "0.8"},
-    "gbt_alt": {"maxIter": 1000, "maxDepth": 7, "minInstancesPerNode": 10, "featureSubsetStrategy": "0.8"},
+    "gbt_alt": {"maxIter": 1000, "maxDepth": 7, "minInstancesPerNode": 10, "featureSubsetStrategy": "0.8", "dropRate": 0.1},
     "gbt_categorical": {"maxIter": 1000, "maxDepth": 8, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"},
 }
 BINS = 64
@@ -57,7 +57,8 @@ class Booster:
     """A gradient-boosted tree model on named columns.
 
     `kind` picks the settings. The categorical kind indexes text columns as
-    categories, however many values they have; the others take numbers only.
+    categories, however many values they have; the others take numbers only. The
+    kind with a `dropRate` leaves earlier trees out at random while it grows.
     With `validation`, a boolean column, boosting stops once those rows no longer
     improve. Null features must be filled or dropped before.
     """
@@ -88,17 +89,26 @@ class Booster:
         settings = {**COMMON, **BOOSTERS[self.kind], **self.params}
         if validation:
             settings["validationIndicatorCol"] = validation
-        gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", **settings)
+        drop_rate = settings.pop("dropRate", None)
         keep = [c for c in (label, validation) if c]
         rows = df.select(*features, *[c for c in keep if c not in features])
         if texts:
             # The indexer marks its columns as categories; a bin for each of them, and one for values never seen.
             stages[0] = stages[0].fit(rows)
             most = max(len(labels) for labels in stages[0].labelsArray) + 1
-            gbt.setMaxBins(max(BINS, most, settings.get("maxBins", BINS)))
-        elif "maxBins" not in settings:
-            gbt.setMaxBins(BINS)
-        self.model = Pipeline(stages=[*stages, gbt]).fit(rows)
+            settings["maxBins"] = max(BINS, most, settings.get("maxBins", BINS))
+        settings.setdefault("maxBins", BINS)
+        if drop_rate is None:
+            gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", **settings)
+            self.model = Pipeline(stages=[*stages, gbt]).fit(rows)
+        else:
+            from zonecast.operators.dropout import fit_dropout
+
+            settings.pop("lossType", None)  # the absolute error is the only one
+            settings.pop("validationIndicatorCol", None)
+            before = Pipeline(stages=stages).fit(rows)
+            trees = fit_dropout(before.transform(rows), label, settings.pop("maxIter"), settings.pop("stepSize"), drop_rate, settings.pop("seed"), validation, **settings)
+            self.model = PipelineModel(stages=[*before.stages, trees])
         self.inputs = inputs
         return self
 
