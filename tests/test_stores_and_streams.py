@@ -136,3 +136,35 @@ def test_request_features_and_answer(spark):
         assert row["confidence_low"] <= row["predicted_demand"] <= row["confidence_high"] and row["predicted_demand"] >= 0
     rate = sc.reuse_rate(features.unionByName(features)).first()
     assert (rate["hits"], rate["misses"], rate["hit_rate"]) == (2, 2, 0.5)
+
+
+def test_snapshot_opens_one_month_only(spark, tmp_path):
+    rows = spark.sql("SELECT timestampadd(HOUR, id * 6, timestamp_ntz'2024-01-01') AS timestamp, '1' AS zone, id AS demand FROM range(480)")
+    store = offline.OfflineStore(spark, str(tmp_path / "o"))
+    store.write(rows)
+    assert store.months() == [(2024, 1), (2024, 2), (2024, 3), (2024, 4)]
+    newest = store.snapshot(24)
+    assert sorted(r["demand"] for r in newest.collect()) == [475, 476, 477, 478, 479]
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and len({f.split("month=")[1][0] for f in newest.inputFiles() if "month=" in f} & {"4"}) == 1
+    read = {r["f"].split("month=")[1].split("/")[0] for r in newest.select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    assert read == {"4"}
+
+
+def test_profile_gives_the_same_drift_without_the_reference(spark, sample, tmp_path):
+    from zonecast.operators import drift as dr
+
+    names = ["demand", "temperature_c", "precipitation_mm"]
+    reference, current = sample.where("zone <= '3'"), sample.where("zone > '3'").withColumn("temperature_c", F.col("temperature_c") + 2)
+    dr.ReferenceProfile.of(reference, names).save(str(tmp_path / "p"))
+    profile = dr.ReferenceProfile.load(spark, str(tmp_path / "p"))
+    for plain, stored in ((dr.psi_by_feature(reference, current, names), dr.psi_by_feature(profile, current, names)),
+                          (dr.ks_by_feature(reference, current, names), dr.ks_by_feature(profile, current, names))):
+        want = {r["feature"]: [v for v in r if not isinstance(v, str)] for r in plain.collect()}
+        assert {r["feature"]: [v for v in r if not isinstance(v, str)] for r in stored.collect()} == {f: pytest.approx(v) for f, v in want.items()}
+    run = dr.drift_run(profile, current, columns=names).first()
+    assert run["n_features_checked"] == 3 and run == dr.drift_run(reference, current, columns=names).first()
+    two = dr.ReferenceProfile.of(reference.where("zone = '1'"), names).plus(dr.ReferenceProfile.of(reference.where("zone <> '1'"), names))
+    assert {r["feature"]: tuple(r["counts"]) for r in two.bins.collect()} == {r["feature"]: tuple(r["counts"]) for r in profile.bins.collect()}
+    grown = dr.ReferenceProfile.of(reference, names)
+    assert grown.columns() and dr.psi_by_feature(profile, current.limit(0), names).count() == 0

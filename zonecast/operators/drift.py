@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonecast.functions import measures as ms
-from zonecast.operators.ordering import prefix_sums, quantiles
+from zonecast.operators.ordering import prefix_sums, quantiles, quantiles_of_counts
+from zonecast.session import checkpointed
 
 FLOOR_SHARE = 1e-6
 
@@ -41,7 +42,73 @@ def _index(pairs: Sequence[tuple[str, str]]) -> Column:
     return F.expr(" + ".join(terms))
 
 
-def psi_by_feature(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10,
+class ReferenceProfile:
+    """What drift checks need to know of a reference, so that they read the current rows only.
+
+    `values`: (feature, value, n), the rows of each value; two profiles add up to
+    that of both. `bins`: per feature the quantile edges, the rows in each bin and
+    in all. Index and distance are those of the reference itself.
+    """
+
+    def __init__(self, values: DataFrame, bins: DataFrame, n_bins: int):
+        self.values, self.bins, self.n_bins = values, bins, n_bins
+
+    @classmethod
+    def of(cls, reference: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> "ReferenceProfile":
+        flat = long_values(reference, columns or numeric_columns(reference))
+        return cls.of_counts(flat.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), bins)
+
+    @classmethod
+    def of_counts(cls, values: DataFrame, bins: int = 10) -> "ReferenceProfile":
+        edges = quantiles_of_counts(values, "value", [i / bins for i in range(bins + 1)], ["feature"], "edges").drop("n")
+        placed = values.join(F.broadcast(edges), "feature")  # one row per column of the frame
+        sums = [F.sum(F.when(F.expr(condition), F.col("n")).otherwise(0)).alias(f"b{i}") for i, condition in enumerate(_in_bins(bins))]
+        counted = placed.groupBy("feature").agg(F.first("edges").alias("edges"), F.sum("n").alias("n_ref"), *sums)
+        return cls(values, counted.select("feature", "edges", "n_ref", F.array(*[f"b{i}" for i in range(bins)]).alias("counts")), bins)
+
+    def plus(self, other: "ReferenceProfile") -> "ReferenceProfile":
+        """The profile of both references together."""
+        both = self.values.unionByName(other.values).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+        return ReferenceProfile.of_counts(both, self.n_bins)
+
+    def save(self, path: str) -> None:
+        values = checkpointed(self.values.sparkSession, self.values)
+        ReferenceProfile.of_counts(values, self.n_bins).bins.write.parquet(f"{path}/bins")
+        # Last: a profile without values is not finished.
+        values.repartition("feature").write.partitionBy("feature").parquet(f"{path}/values")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "ReferenceProfile":
+        bins = spark.read.parquet(f"{path}/bins")
+        kinds = "value double, n bigint, feature string"
+        first = bins.select(F.size("counts")).first()
+        return cls(spark.read.schema(kinds).parquet(f"{path}/values").select("feature", "value", "n"), bins, first[0] if first else 10)
+
+    def columns(self) -> list[str]:
+        return [r["feature"] for r in self.bins.select("feature").collect()]  # one row per column
+
+
+def _in_bins(bins: int, open_ends: bool = False) -> list[str]:
+    """SQL for each bin whether `value` lies in it, by the array `edges`: [a, b), the last one [a, b], the outer two wider by 1e-6 or open."""
+    out = []
+    for i in range(bins):
+        low = f"value >= edges[{i}]" if i else "true" if open_ends else "value >= edges[0] - 1e-6D"
+        high = f"value < edges[{i + 1}]" if i < bins - 1 else "true" if open_ends else f"value <= edges[{bins}] + 1e-6D"
+        out.append(f"{low} AND {high}")
+    return out
+
+
+def psi_against(profile: ReferenceProfile, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`psi_by_feature` with the reference's stored counts; only the current rows are read."""
+    bins = profile.n_bins
+    rows = long_values(current, columns).join(F.broadcast(profile.bins.select("feature", "edges")), "feature")
+    sums = [F.sum(F.expr(f"CAST({condition} AS BIGINT)")).alias(f"cur{i}") for i, condition in enumerate(_in_bins(bins))]
+    counted = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n_cur"), *sums).join(profile.bins.drop("edges"), "feature").where("n_ref > 0")
+    index = _index([(f"(counts[{i}] / n_ref)", f"(cur{i} / n_cur)") for i in range(bins)])
+    return counted.select("feature", "n_ref", "n_cur", index.alias("psi"))
+
+
+def psi_by_feature(reference: DataFrame | ReferenceProfile, current: DataFrame, columns: Sequence[str], bins: int = 10,
                    open_ends: bool = False) -> DataFrame:
     """Population stability index per feature: feature, n_ref, n_cur, psi.
 
@@ -49,39 +116,42 @@ def psi_by_feature(reference: DataFrame, current: DataFrame, columns: Sequence[s
     bin is [a, b), the last one [a, b]. Values outside count in the size but in
     no bin, unless `open_ends` puts them into the outer bins.
     """
+    if isinstance(reference, ReferenceProfile):
+        return psi_against(reference, current, columns)
     ref = long_values(reference, columns)
     edges = quantiles(ref, "value", [i / bins for i in range(bins + 1)], ["feature"], "edges").drop("n")
     # One row per column of the frame, so the width of the schema bounds it.
     rows = both_sides(reference, current, columns).join(F.broadcast(edges), "feature")
 
     sums = [F.expr("sum(CAST(is_ref AS BIGINT)) AS n_ref"), F.expr("sum(CAST(NOT is_ref AS BIGINT)) AS n_cur")]
-    for i in range(bins):
-        low = f"value >= edges[{i}]" if i else "true" if open_ends else "value >= edges[0] - 1e-6D"
-        if i < bins - 1:
-            high = f"value < edges[{i + 1}]"
-        else:
-            high = "true" if open_ends else f"value <= edges[{bins}] + 1e-6D"
-        sums.append(F.expr(f"sum(CAST({low} AND {high} AND is_ref AS BIGINT)) AS ref{i}"))
-        sums.append(F.expr(f"sum(CAST({low} AND {high} AND NOT is_ref AS BIGINT)) AS cur{i}"))
+    for i, condition in enumerate(_in_bins(bins, open_ends)):
+        sums.append(F.expr(f"sum(CAST({condition} AND is_ref AS BIGINT)) AS ref{i}"))
+        sums.append(F.expr(f"sum(CAST({condition} AND NOT is_ref AS BIGINT)) AS cur{i}"))
     counted = rows.groupBy("feature").agg(*sums).where("n_ref > 0 and n_cur > 0")
     index = _index([(f"(ref{i} / n_ref)", f"(cur{i} / n_cur)") for i in range(bins)])
     return counted.select("feature", "n_ref", "n_cur", index.alias("psi"))
 
 
-def ks_by_feature(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+def ks_by_feature(reference: DataFrame | ReferenceProfile, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per feature."""
-    counts = both_sides(reference, current, columns).groupBy("feature", "value").agg(
-        F.sum(F.col("is_ref").cast("long")).alias("r"), F.sum((~F.col("is_ref")).cast("long")).alias("c")
-    )
+    if isinstance(reference, ReferenceProfile):
+        ref = reference.values.where(F.col("feature").isin(list(columns))).select("feature", "value", F.col("n").alias("r"), F.lit(0).cast("long").alias("c"))
+        cur = long_values(current, columns).select("feature", "value", F.lit(0).cast("long").alias("r"), F.lit(1).cast("long").alias("c"))
+        counts = ref.unionByName(cur).groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    else:
+        counts = both_sides(reference, current, columns).groupBy("feature", "value").agg(
+            F.sum(F.col("is_ref").cast("long")).alias("r"), F.sum((~F.col("is_ref")).cast("long")).alias("c")
+        )
     placed = prefix_sums(counts, "value", ["r", "c"], ["feature"])
     gap = F.expr("max(abs((r_before + r) / r_total - (c_before + c) / c_total))")
     return placed.where("r_total > 0 and c_total > 0").groupBy("feature").agg(gap.alias("ks"))
 
 
-def feature_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None,
+def feature_drift(reference: DataFrame | ReferenceProfile, current: DataFrame, columns: Sequence[str] | None = None,
                   threshold: float = 0.2, least_rows: int = 10) -> DataFrame:
     """PSI and status of every numeric column both frames have."""
-    shared = columns or [c for c in numeric_columns(reference) if c in current.columns]
+    known = reference.columns() if isinstance(reference, ReferenceProfile) else numeric_columns(reference)
+    shared = columns or [c for c in known if c in current.columns]
     found = psi_by_feature(reference, current, shared).where(
         (F.col("n_ref") >= least_rows) & (F.col("n_cur") >= least_rows)
     )
@@ -90,7 +160,7 @@ def feature_drift(reference: DataFrame, current: DataFrame, columns: Sequence[st
     )
 
 
-def target_drift(reference: DataFrame, current: DataFrame, target: str = "demand") -> DataFrame:
+def target_drift(reference: DataFrame | ReferenceProfile, current: DataFrame, target: str = "demand") -> DataFrame:
     psi = psi_by_feature(reference, current, [target])
     ks = ks_by_feature(reference, current, [target])
     return psi.join(ks, "feature").select(
@@ -108,7 +178,7 @@ def performance(df: DataFrame, y: str = "demand", p: str = "pred", limit: float
     )
 
 
-def drift_run(reference: DataFrame, current: DataFrame, scored: DataFrame | None = None,
+def drift_run(reference: DataFrame | ReferenceProfile, current: DataFrame, scored: DataFrame | None = None,
               columns: Sequence[str] | None = None, threshold: float = 0.2, mape_limit: float = 0.2) -> DataFrame:
     """One monitoring run as one row: counts, drifted and warned features, performance, alert, advice."""
     checks = feature_drift(reference, current, columns, threshold)

@@ -91,8 +91,15 @@ def quantiles(
     Also returns `n`, the number of values. A quantile at share p sits at
     position p * (n - 1) of the sorted values.
     """
+    return quantiles_of_counts(value_counts(df, value, keys), value, shares, keys, name, buckets)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = (), name: str = "quantiles", buckets: int = BUCKETS,
+) -> DataFrame:
+    """The same from one row per (keys, value) with the number of rows `n`."""
     keys = list(keys)
-    placed = prefix_sums(value_counts(df, value, keys), value, ["n"], keys, buckets)
+    placed = prefix_sums(counts, value, ["n"], keys, buckets)
 
     def at(position: str, side: str) -> Column:
         # The value whose run of equal rows covers this position.

@@ -18,7 +18,7 @@ from zonecast.plans import sql as q
 from zonecast.plans.features import KEYS, all_features, pick
 from zonecast.plans.registry import query, rides, rounded, scored, tidy
 from zonecast.plans.storage import CUT, DRIFT_COLUMNS, SIDES, sides
-from zonecast.session import checkpointed
+from zonecast.session import checkpointed, new_dir
 
 # Evaluation ---------------------------------------------------------------------
 
@@ -193,15 +193,13 @@ FEATURE_SIDES = f"""
 exact AS (SELECT timestamp, {', '.join(f"round({f}, 9) AS {f}" for f in q.ALL_FEATURES)} FROM features),
 reference AS (SELECT * FROM exact WHERE timestamp < TIMESTAMP '{CUT}'),
 current_rows AS (SELECT * FROM exact WHERE timestamp >= TIMESTAMP '{CUT}')"""
-SHARED = [f for f in q.ALL_FEATURES if f not in q.POI and not f.startswith(("fourier_", "cluster_"))]
+SHARED = q.ALL_FEATURES
 
 
 @query("feature_drift", f"""WITH {q.FEATURES}, {FEATURE_SIDES}, {q.psi('reference', 'current_rows', SHARED)}
 SELECT feature, {q.r('psi', 4)} AS psi, {STATUS} AS status FROM psi WHERE n_ref >= 10 AND n_cur >= 10""")
 def feature_drift(spark: SparkSession, folder: str) -> DataFrame:
-    """All features but the constant and the purely cyclic ones.
-
-    Rounded to 9 places: many values sit exactly on a bin edge, where the last
+    """All features, constant ones with an index of 0. Rounded to 9 places: many values sit exactly on a bin edge, where the last
     bits of a deviation would decide the bin.
     """
     table = checkpointed(spark, pick(all_features(spark, folder), SHARED, 9))
@@ -306,10 +304,36 @@ def temperature(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(cal.temperature(scored(spark, folder)))
 
 
-@query("isotonic")
+# The fitted level of a prediction is the largest, over starts at or before it, of the smallest mean from there to an end at or after it.
+ISOTONIC = f"""WITH {q.SCORED}, points AS (SELECT pred, sum(demand)::DOUBLE AS s, count(*) AS n, row_number() OVER (ORDER BY pred) AS i FROM scored GROUP BY pred),
+sums AS (SELECT pred, i, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn, s, n FROM points),
+spans AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM sums a JOIN sums b ON a.i <= b.i),
+least_ends AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM spans),
+levels AS (SELECT i, max(m) AS level FROM least_ends GROUP BY i)"""
+
+
+@query("isotonic", ISOTONIC + f" SELECT timestamp, zone, demand, {q.r('x.pred')} AS pred, {q.r('level')} AS calibrated FROM scored x JOIN points p ON p.pred = x.pred JOIN levels l ON l.i = p.i")
 def isotonic(spark: SparkSession, folder: str) -> DataFrame:
     df = scored(spark, folder)
-    return cal.Isotonic().fit(df).transform(df).select(*KEYS, "demand", "pred", "calibrated")
+    return tidy(cal.Isotonic().fit(df).transform(df).select(*KEYS, "demand", "pred", "calibrated"))
+
+
+@query("isotonic_blocks", ISOTONIC + f" SELECT {q.r('min(pred)')} AS low, {q.r('max(pred)')} AS high, {q.r('level')} AS mean FROM levels JOIN points USING (i) GROUP BY round(level, 9), level")
+def isotonic_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of the non-decreasing map, pooled in parts and merged at their borders."""
+    return tidy(cal.isotonic_blocks(scored(spark, folder)))
+
+
+@query("drift_from_profile", f"""WITH {q.RIDES}, {SIDES}, {q.psi('reference', 'current_rows', DRIFT_COLUMNS)}, {q.ks('reference', 'current_rows', DRIFT_COLUMNS)}
+SELECT psi.feature AS feature, n_ref, n_cur, {q.r('psi')} AS psi, {q.r('ks')} AS ks FROM psi JOIN ks ON ks.feature = psi.feature""")
+def drift_from_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Drift of the current rows against a stored profile of the reference, itself added up from two halves."""
+    reference, current = sides(checkpointed(spark, rides(spark, folder)))
+    odd = F.col("zone").cast("int") % 2 == 1
+    path = new_dir(spark, "profile")
+    dr.ReferenceProfile.of(reference.where(odd), DRIFT_COLUMNS).plus(dr.ReferenceProfile.of(reference.where(~odd), DRIFT_COLUMNS)).save(path)
+    profile = dr.ReferenceProfile.load(spark, path)
+    return tidy(dr.psi_by_feature(profile, current, DRIFT_COLUMNS).join(dr.ks_by_feature(profile, current, DRIFT_COLUMNS), "feature"))
 
 
 @query("platt")

@@ -8,10 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonecast.operators import categories as ct
+from zonecast.operators import dropout as dp
 from zonecast.operators import ensemble as en
 from zonecast.operators import folds as fd
 from zonecast.operators import modeling as mo
+from zonecast.operators import neighbours as nb
 from zonecast.operators import selecting as se
+from zonecast.operators import tree_shap as ts
 from zonecast.plans import explaining as xp
 from zonecast.plans import scoring as sp
 from zonecast.plans import sql as q
@@ -94,8 +98,8 @@ def champion_predict_batch(spark: SparkSession, folder: str) -> DataFrame:
     for name, mape, model in (("gbt_l1", 20.0, models[0]), ("voting", 15.0, voting), ("gbt_alt", 14.9, models[1])):
         registry.promote(model, name, mape, lambda old, new=mape: old is None or (old.mape - new) / old.mape > 0.01)
     requests = sp.valid_features(spark, folder)
-    scored = voting.predict(tr.predict_with_champion(spark, requests, registry.root), "before")
-    same = F.abs(F.greatest(F.col("prediction"), F.lit(0.0)) - F.col("before")) <= 1e-9
+    scored = voting.predict(tr.predict_with_champion(spark, requests, registry.root).withColumnRenamed("prediction", "stored"), "before")
+    same = F.abs(F.col("stored") - F.col("before")) <= 1e-9
     ordered = (F.col("confidence_low") <= F.col("predicted_demand")) & (F.col("predicted_demand") <= F.col("confidence_high"))
     return scored.select("timestamp", "panel_zone", "model_version", same.alias("as_promoted"), ordered.alias("ordered"))
 
@@ -198,6 +202,62 @@ def importance_report(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(se.importance_report(*two_votes(spark, folder)))
 
 
+@query("mutual_information_nearest")
+def mutual_information_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """By the distances to the third neighbours, without bins."""
+    return tidy(nb.mutual_information(checkpointed(spark, xp.inputs(spark, folder)), NAMES))
+
+
+@query("shap_tree")
+def shap_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact attributions of a boosted model, long form."""
+    model, _ = fitted(spark, folder, "gbt_l1", NAMES)
+    return tidy(ts.attributions(xp.inputs(spark, folder), model), 9)
+
+
+@query("shap_tree_adds_up", f"WITH {xp.INPUT} SELECT timestamp, zone, {len(NAMES)} AS n_features, true AS adds_up FROM x")
+def shap_tree_adds_up(spark: SparkSession, folder: str) -> DataFrame:
+    """For each row whether its exact attributions and the base value make up the model's score."""
+    model, _ = fitted(spark, folder, "gbt_l1", NAMES)
+    df = checkpointed(spark, xp.inputs(spark, folder))
+    sums = ts.attributions(df, model).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_features"), F.sum("attribution").alias("s"), F.max("base_value").alias("b"))
+    scores = model.model.transform(df).select(*KEYS, F.col("prediction").alias("p"))
+    return scores.join(sums, KEYS).select(*KEYS, "n_features", (F.abs(F.col("s") + F.col("b") - F.col("p")) <= 1e-9).alias("adds_up"))
+
+
+@query("shap_tree_dependence")
+def shap_tree_dependence(spark: SparkSession, folder: str) -> DataFrame:
+    """Points of two features, coloured by the feature that each interacts with most."""
+    model, _ = fitted(spark, folder, "gbt_l1", NAMES)
+    return tidy(ts.dependence(checkpointed(spark, xp.inputs(spark, folder)), model, ["demand_lag_24h", "hour"]), 9)
+
+
+DROPPED = "(('0x' || substr(md5('42:' || t || ':' || i), 1, 12))::BIGINT % 1000000 < 300000)"
+
+
+@query("dropout_weights", f"""WITH rounds AS (SELECT unnest(range(0, 8)) AS t), out AS (SELECT a.t AS t, b.t AS i FROM rounds a JOIN rounds b ON b.t < a.t WHERE {DROPPED.replace('t ||', 'a.t ||').replace('|| i)', '|| b.t)')}),
+sizes AS (SELECT t, (SELECT count(*) FROM out o WHERE o.t = r.t) AS k FROM rounds r),
+born AS (SELECT t, CASE WHEN t = 0 THEN 1.0 WHEN k = 0 THEN 0.3 ELSE 0.3 / (k + 0.3) END::DOUBLE AS w FROM sizes),
+kept AS (SELECT o.i AS i, product(k::DOUBLE / (k + 0.3::DOUBLE)) AS f FROM out o JOIN sizes s ON s.t = o.t GROUP BY o.i)
+SELECT t AS tree, {q.r('w * coalesce(f, 1.0)', 9)} AS weight, (SELECT count(*) FROM out o WHERE o.i = born.t) AS times_out FROM born LEFT JOIN kept ON kept.i = born.t""")
+def dropout_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """The trees of the dropout booster with their weights and how often each was left out."""
+    train = parts(table(spark, folder))[0]
+    model = mo.Booster("gbt_alt", {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3, "dropRate": 0.3, "seed": 42}).fit(train, NAMES)
+    weights = list(model.model.stages[-1].treeWeights)
+    out = [sum(i in dp.dropped(42, t, 0.3) for t in range(8)) for i in range(8)]
+    return tidy(spark.createDataFrame([(i, float(w), n) for i, (w, n) in enumerate(zip(weights, out))], "tree bigint, weight double, times_out bigint"), 9)
+
+
+@query("ordered_target_stats", q.with_rides(f"""SELECT timestamp, zone, weather, {q.r('(coalesce(sum(demand) OVER c, 0) + coalesce(sum(demand) OVER w / count(*) OVER w, 0.0)) / (count(*) OVER c + 1.0::DOUBLE)')} AS code
+FROM (SELECT *, ('0x' || substr(md5('42|' || CAST(timestamp AS VARCHAR) || '|' || zone), 1, 15))::BIGINT AS place FROM rides)
+WINDOW c AS (PARTITION BY weather ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
+def ordered_target_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The weather as the mean demand of earlier rows of that weather, in a hashed order."""
+    out = ct.OrderedTargets("weather").fit_transform(checkpointed(spark, rides(spark, folder)), "code")
+    return tidy(out.select(*KEYS, "weather", "code"))
+
+
 @query("sample_rows")
 def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
     return se.sample_rows(rides(spark, folder), 2000).select(*KEYS, "demand")

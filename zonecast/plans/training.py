@@ -17,9 +17,11 @@ from zonecast.operators import explain as ex
 from zonecast.operators import folds as fd
 from zonecast.operators import geo
 from zonecast.operators import modeling as mo
+from zonecast.operators import neighbours as nb
 from zonecast.operators import scoring as sc
 from zonecast.operators import selecting as se
 from zonecast.operators import temporal as tp
+from zonecast.operators import tree_shap as ts
 from zonecast.session import checkpointed
 from zonecast.sources.models import ModelRegistry, Version
 
@@ -42,6 +44,7 @@ class Settings:
     top_attribution: int = 40
     top_information: int = 40
     least_features: int = 20
+    nearest_information: bool = False
     use_boruta: bool = False
     boruta_trials: int = 15
     boruta_trees: int = 100
@@ -75,8 +78,8 @@ def train_all(spark: SparkSession, features: DataFrame, settings: Settings | Non
 
     # Selection: attribution of a quick booster, mutual information, and maybe the shadow test.
     quick = mo.Booster("gbt_l1", {"maxIter": 20, "stepSize": 0.1, **s.booster}).fit(train, names)
-    attribution = checkpointed(spark, ex.global_importance(ex.shapley(train, names, quick.predict, draws=s.attribution_draws)))
-    information = checkpointed(spark, se.mutual_information(train, names))
+    attribution = checkpointed(spark, ex.global_importance(ts.attributions(train, quick)))
+    information = checkpointed(spark, nb.mutual_information(train, names) if s.nearest_information else se.mutual_information(train, names))
     confirmed = None
     if s.use_boruta:
         confirmed = se.boruta(train, names, trials=s.boruta_trials, trees=s.boruta_trees)
@@ -137,7 +140,8 @@ def train_all(spark: SparkSession, features: DataFrame, settings: Settings | Non
         calibration=cal.compare_calibrators(on_val),
         revenue=ev.revenue_backtest(scored.withColumnRenamed(f"by_{best}", "pred")),
         importance=ex.global_importance(
-            ex.shapley(test, chosen, models[best].predict, draws=s.attribution_draws)
+            ts.attributions(test, models[best]) if isinstance(models[best], mo.Booster)
+            else ex.shapley(test, chosen, models[best].predict, draws=s.attribution_draws)
         ),
     )
 
@@ -147,12 +151,14 @@ def merge(history: DataFrame, recent: DataFrame) -> DataFrame:
     return history.join(recent.select("timestamp", "zone").distinct(), ["timestamp", "zone"], "left_anti").unionByName(recent)
 
 
-def retrain(spark: SparkSession, history: DataFrame, recent: DataFrame, versions: str, reference: DataFrame | None = None,
+def retrain(spark: SparkSession, history: DataFrame, recent: DataFrame, versions: str, reference: DataFrame | dr.ReferenceProfile | None = None,
             settings: Settings | None = None) -> DataFrame:
     """Replace the hours that `recent` covers, rebuild features, check drift, train if needed, promote if better.
 
     `versions` is the folder of a `ModelRegistry`: a promotion publishes the
-    challenger's model there as its newest version, the champion. Returns one
+    challenger's model there as its newest version, the champion, and writes the
+    profile of its features beside it, a `reference` for later runs
+    (`champion_profile`) that reads none of the old rows. Returns one
     summary row. Only the (timestamp, zone) rows that `recent` brings are
     replaced: a late delivery of an old week leaves all other history as it is.
     """
@@ -174,6 +180,8 @@ def retrain(spark: SparkSession, history: DataFrame, recent: DataFrame, versions
         return ev.champion_gate(_as_scores(spark, champion), scores).first()["promote"]
 
     found = registry.promote(result.models[best["model"]], best["model"], best["mape"], better)
+    if found:
+        dr.ReferenceProfile.of(features, names).save(registry.profile_path(found))
     return spark.createDataFrame([(True, drifted, best["model"], best["mape"], found is not None, found.number if found else None)], _SUMMARY)
 
 
@@ -189,6 +197,11 @@ def champion(spark: SparkSession, versions: str) -> DataFrame:
     return _as_scores(spark, ModelRegistry(spark, versions).champion())
 
 
+def champion_profile(spark: SparkSession, versions: str) -> dr.ReferenceProfile:
+    registry = ModelRegistry(spark, versions)
+    return dr.ReferenceProfile.load(spark, registry.profile_path(registry.champion()))
+
+
 def predict_with_champion(spark: SparkSession, features: DataFrame, versions: str) -> DataFrame:
     """Score request features with the promoted model: columns it lacks are filled as for any request, or are 0."""
     version, model = ModelRegistry(spark, versions).load()

@@ -210,5 +210,9 @@ class ModelRegistry:
         named = {self.version(n).model for n in self.numbers()}
         return sorted(s.getPath().getName() for s in system.listStatus(folder) if s.getPath().getName() not in named) if system.exists(folder) else []
 
+    def profile_path(self, version: Version) -> str:
+        """Where what the drift checks know of the version's training rows is kept."""
+        return f"{self.root}/models/{version.model}/profile"
+
     def _file(self, number: int) -> str:
         return f"{self.root}/versions/{number:09d}.json"

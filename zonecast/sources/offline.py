@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,19 +52,34 @@ class OfflineStore:
         rows = rows.drop("year", "month")
         return rows.orderBy("timestamp") if ordered else rows
 
+    def months(self) -> list[tuple[int, int]]:
+        """(year, month) of the partitions, oldest first, from the folder names: no data file is opened."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+        def values(folder, name: str) -> list[tuple[int, object]]:
+            found = [s.getPath() for s in system.listStatus(folder) if s.isDirectory()]
+            return [(int(f.getName().split("=")[1]), f) for f in found if f.getName().startswith(f"{name}=")]
+
+        return sorted((year, month) for year, folder in values(root, "year") for month, _ in values(folder, "month"))
+
     def snapshot(self, hours: int = 24) -> DataFrame:
         """Rows of the last `hours` hours before the newest row of the whole store.
 
-        The newest month is a partition value, so finding the newest timestamp
-        reads only that month's files.
+        The newest month is known from the listing, so only its files are read to
+        find the newest timestamp, and only those of the months in reach after it.
         """
         stored = self.table()
-        month = F.col("year") * 12 + F.col("month")
-        newest_month = stored.agg(F.max(month).alias("m")).scalar()
-        newest = stored.where(month == newest_month).agg(F.max("timestamp").alias("t")).scalar()
-        cutoff = newest - F.expr(f"interval {int(hours)} hours")
-        recent = stored.where((month >= _month_number(cutoff)) & (F.col("timestamp") >= cutoff))
-        return recent.drop("year", "month")
+        for year, month in reversed(self.months()):
+            newest = stored.where((F.col("year") == year) & (F.col("month") == month)).agg(F.max("timestamp")).first()[0]
+            if newest is not None:
+                break
+        else:
+            return stored.drop("year", "month")
+        cutoff = newest - timedelta(hours=int(hours))
+        reach = F.col("year") * 12 + F.col("month") >= cutoff.year * 12 + cutoff.month
+        return stored.where(reach & (F.col("timestamp") >= F.lit(cutoff).cast("timestamp_ntz"))).drop("year", "month")
 
     def partitions(self) -> DataFrame:
         """Rows and size in KB of each month."""
