@@ -55,19 +55,62 @@ def test_online_upsert_keeps_the_newest(spark, tmp_path):
     assert store.read("1", "other", now).count() == 0
 
 
-def test_repeated_write_changes_nothing_and_old_versions_go(spark, tmp_path):
-    store = online.OnlineStore(spark, str(tmp_path / "on"), keep_versions=2)
+def files(folder):
+    return {str(f.relative_to(folder)): f.stat().st_size for f in folder.rglob("*.parquet")}
+
+
+def test_a_write_makes_files_for_the_buckets_it_touches_only(spark, tmp_path):
+    store = online.OnlineStore(spark, str(tmp_path / "on"))
+    many = spark.range(500).selectExpr("CAST(id AS STRING) AS zone", "'g' AS feature_group", "map('x', 'a') AS features", "timestamp'2024-01-01 10:00:00' AS updated_at")
+    store.write(many)
+    before = files(tmp_path / "on")
+    assert len(before) == online.BUCKETS
+    store.write(entry(spark, "7", "b", "2024-01-01 11:00:00"))
+    new = files(tmp_path / "on")
+    assert len(new) == len(before) + 1 and all(new[f] == n for f, n in before.items())
+    got = {r["zone"]: r["features"]["x"] for r in store.entries().collect()}
+    assert len(got) == 500 and got["7"] == "b" and set(got.values()) == {"a", "b"}
+    # A look-up opens the files of its bucket: one of the base, one of the delta.
+    found = store.read("7", "g", at("2024-01-01 11:00:01"))
+    assert found.first()["features"] == {"x": "b"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters:")[1][:80]
+
+
+def test_repeated_writes_and_batches_change_nothing(spark, tmp_path):
+    store = online.OnlineStore(spark, str(tmp_path / "on"))
     store.write(entry(spark, "1", "a", "2024-01-01 10:00:00"))
     for _ in range(3):
         store.write(entry(spark, "1", "b", "2024-01-01 11:00:00"))
         assert [r["features"]["x"] for r in store.entries().collect()] == ["b"]
-    assert store.versions() == [2, 3]
-
-
-def test_unfinished_version_is_not_read(spark, tmp_path):
+    store.write(entry(spark, "2", "c", "2024-01-01 11:00:00"), "q-7")
+    before = files(tmp_path / "on")
+    store.write(entry(spark, "2", "other", "2024-01-01 12:00:00"), "q-7")
+    assert files(tmp_path / "on") == before and store.read("2", "g", at("2024-01-01 11:00:00")).first()["features"] == {"x": "c"}
+
+
+def test_compaction_keeps_what_is_alive(spark, tmp_path):
+    store = online.OnlineStore(spark, str(tmp_path / "on"), ttl_seconds=3600, keep_versions=1, compact_after=4)
+    for hour, zone in ((6, "1"), (10, "2"), (10, "3")):
+        store.write(entry(spark, zone, "a", f"2024-01-01 {hour:02d}:00:00"))
+    assert store.versions() == [0, 1, 2] and store.entries().count() == 3
+    store.write(entry(spark, "3", "b", "2024-01-01 10:30:00"))
+    assert store.versions() == [3] and store._needed() == ["b000000000003"]
+    assert {r["zone"]: r["features"]["x"] for r in store.entries().collect()} == {"2": "a", "3": "b"}
+    store.write(entry(spark, "2", "late", "2024-01-01 09:00:00"))
+    store.write(entry(spark, "4", "c", "2024-01-01 10:40:00"))
+    assert store._needed() == ["b000000000003", "d000000000004", "d000000000005"]
+    assert {r["zone"]: r["features"]["x"] for r in store.entries().collect()} == {"2": "a", "3": "b", "4": "c"}
+    store.compact()
+    store.compact()
+    assert store._needed() == ["b000000000005"] and store.entries().count() == 3
+
+
+def test_unfinished_write_is_not_read(spark, tmp_path):
     store = online.OnlineStore(spark, str(tmp_path / "on"))
     store.write(entry(spark, "1", "a", "2024-01-01 10:00:00"))
-    (tmp_path / "on" / "v000000000001").mkdir()
+    (tmp_path / "on" / "d000000000001").mkdir()
+    (tmp_path / "on" / "b000000000000").mkdir()
     assert store.versions() == [0]
     store.write(entry(spark, "1", "b", "2024-01-01 11:00:00"))
     assert store.versions() == [0, 1] and store.entries().first()["features"] == {"x": "b"}

@@ -52,8 +52,8 @@ class OfflineStore:
         rows = rows.drop("year", "month")
         return rows.orderBy("timestamp") if ordered else rows
 
-    def months(self) -> list[tuple[int, int]]:
-        """(year, month) of the partitions, oldest first, from the folder names: no data file is opened."""
+    def modified(self) -> dict[tuple[int, int], list[str]]:
+        """(year, month) of the partitions with the names of their files, from the listing: no data file is opened."""
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -62,7 +62,14 @@ class OfflineStore:
             found = [s.getPath() for s in system.listStatus(folder) if s.isDirectory()]
             return [(int(f.getName().split("=")[1]), f) for f in found if f.getName().startswith(f"{name}=")]
 
-        return sorted((year, month) for year, folder in values(root, "year") for month, _ in values(folder, "month"))
+        if not system.exists(root):
+            return {}
+        months = sorted(((year, month, inside) for year, folder in values(root, "year") for month, inside in values(folder, "month")), key=lambda e: e[:2])
+        return {(y, m): sorted(s.getPath().getName() for s in system.listStatus(inside)) for y, m, inside in months}
+
+    def months(self) -> list[tuple[int, int]]:
+        """(year, month) of the partitions, oldest first."""
+        return list(self.modified())
 
     def snapshot(self, hours: int = 24) -> DataFrame:
         """Rows of the last `hours` hours before the newest row of the whole store.
