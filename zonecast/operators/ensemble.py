@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from zonecast.functions import measures as ms
 from zonecast.operators import folds as fd
 from zonecast.operators.modeling import Booster
+from zonecast.operators.trials import side_by_side
 
 
 def _names(models: Sequence[Booster]) -> list[str]:
@@ -180,17 +181,20 @@ class Voting:
 
 
 def cross_validate(make: Callable[[], Booster], indexed: DataFrame, plan: fd.Plan, features: Sequence[str],
-                   label: str = "demand") -> DataFrame:
-    """Metrics and sizes per fold: fit on the fold's training rows, score its validation rows."""
+                   label: str = "demand", parallel: int = 1) -> DataFrame:
+    """Metrics and sizes per fold: fit on the fold's training rows, score its validation rows; `parallel` folds at a time."""
+    spark = indexed.sparkSession
     assigned = fd.assign(indexed, plan)
     sizes = {(r["fold"], r["role"]): r["n_rows"] for r in fd.fold_sizes(assigned).collect()}  # two rows per fold
+    folds = [f for f in range(1, fd.fold_count(plan) + 1) if sizes.get((f, "train")) and sizes.get((f, "val"))]
+
+    def fitted(fold: int) -> Booster:
+        return make().fit(assigned.where((F.col("fold") == fold) & (F.col("role") == "train")), features, label)
+
+    models = side_by_side(spark, [lambda f=f: fitted(f) for f in folds], parallel, "fold")
     parts = []
-    for fold in range(1, fd.fold_count(plan) + 1):
-        if not sizes.get((fold, "train")) or not sizes.get((fold, "val")):
-            continue
-        train = assigned.where((F.col("fold") == fold) & (F.col("role") == "train"))
-        val = assigned.where((F.col("fold") == fold) & (F.col("role") == "val"))
-        scored = make().fit(train, features, label).predict(val, "prediction")
+    for fold, model in zip(folds, models):
+        scored = model.predict(assigned.where((F.col("fold") == fold) & (F.col("role") == "val")), "prediction")
         parts.append(scored.agg(
             F.lit(fold).cast("long").alias("fold"), *ms.error_aggregates(label, "prediction"),
             F.lit(sizes[fold, "train"]).alias("train_size"), F.lit(sizes[fold, "val"]).alias("val_size"),

@@ -122,7 +122,8 @@ class Booster:
     def importance(self, spark: SparkSession) -> DataFrame:
         """Importance per input column, largest first."""
         values = self.model.stages[-1].featureImportances.toArray()
-        rows = [(name, float(v)) for name, v in zip(self.inputs, values)]
+        # A model put together from trees knows no columns beyond the last one they use.
+        rows = [(name, float(values[i]) if i < len(values) else 0.0) for i, name in enumerate(self.inputs)]
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
     def save(self, path: str) -> None:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
-from statistics import median
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -15,6 +14,7 @@ from zonecast.operators import folds as fd
 from zonecast.operators.drift import long_values
 from zonecast.operators.modeling import Booster
 from zonecast.operators.ordering import bucket_of, quantiles
+from zonecast.operators.trials import Search
 
 BLOCK_ROWS = 4096
 
@@ -173,38 +173,32 @@ def draw_parameters(kind: str, chance: random.Random, most_depth: int | None = N
 
 def parameter_search(indexed: DataFrame, plan: fd.Plan, features: Sequence[str], kind: str = "gbt_l1",
                      label: str = "demand", trials: int = 20, seed: int = 42, warmup_trials: int = 10,
-                     warmup_folds: int = 2, fixed: dict | None = None, most_depth: int | None = None) -> DataFrame:
+                     warmup_folds: int = 2, fixed: dict | None = None, most_depth: int | None = None, parallel: int = 1) -> DataFrame:
     """Random search by mean fold RMSE; a trial worse than the running median stops early.
 
     Returns one row per trial: number, parameters as JSON, folds done, mean RMSE,
-    whether it was stopped, and whether it is the best finished one.
+    whether it was stopped, and whether it is the best finished one. With
+    `parallel` trials at a time a trial may also be stopped in the middle of a
+    fit; where none is stopped, the table is that of one trial after the other.
     """
     spark = indexed.sparkSession
     assigned = fd.assign(indexed, plan)
     n_folds = fd.fold_count(plan)
     chance = random.Random(seed)
-    history: list[list[float]] = []
+    drawn = [{**draw_parameters(kind, chance, most_depth), **(fixed or {})} for _ in range(trials)]
+
+    def run_fold(trial: int, fold: int) -> float:
+        train = assigned.where((F.col("fold") == fold) & (F.col("role") == "train"))
+        val = assigned.where((F.col("fold") == fold) & (F.col("role") == "val"))
+        scored = Booster(kind, drawn[trial]).fit(train, features, label).predict(val, "prediction")
+        gap = F.col(label) - F.col("prediction")
+        return float(scored.agg(F.sqrt(F.avg(gap * gap))).first()[0])
+
+    done = Search(spark, n_folds, warmup_trials, warmup_folds).run(trials, run_fold, parallel)
     rows = []
-    for trial in range(trials):
-        params = {**draw_parameters(kind, chance, most_depth), **(fixed or {})}
-        means: list[float] = []
-        errors: list[float] = []
-        stopped = False
-        for fold in range(1, n_folds + 1):
-            train = assigned.where((F.col("fold") == fold) & (F.col("role") == "train"))
-            val = assigned.where((F.col("fold") == fold) & (F.col("role") == "val"))
-            scored = Booster(kind, params).fit(train, features, label).predict(val, "prediction")
-            gap = F.col(label) - F.col("prediction")
-            errors.append(float(scored.agg(F.sqrt(F.avg(gap * gap))).first()[0]))
-            means.append(sum(errors) / len(errors))
-            earlier = [h[fold - 1] for h in history if len(h) >= fold]
-            late_enough = trial >= warmup_trials and fold > warmup_folds and fold < n_folds
-            if late_enough and earlier and means[-1] > median(earlier):
-                stopped = True
-                break
-        history.append(means)
+    for trial, (params, result) in enumerate(zip(drawn, done)):
         shown = ", ".join(f'"{k}": {v!r}' for k, v in sorted(params.items())).replace("'", '"')
-        rows.append((trial, "{" + shown + "}", len(means), means[-1], stopped))
+        rows.append((trial, "{" + shown + "}", len(result.means), result.means[-1], result.stopped))
     table = spark.createDataFrame(rows, "trial bigint, params string, folds_done bigint, rmse double, stopped boolean")
     best = min((r for r in rows if not r[4]), key=lambda r: r[3])[0]
     return table.withColumn("best", F.col("trial") == best)
