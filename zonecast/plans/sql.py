@@ -123,9 +123,7 @@ for _name, (_home, _weight) in fv.POINTS_OF_INTEREST.items():
         f"THEN {_weight}::DOUBLE * {fv.POI_NEIGHBOUR_SHARE}::DOUBLE ELSE 0.0::DOUBLE END"
     )
 
-CLUSTER = "CASE " + " ".join(
-    f"WHEN CAST(zone AS BIGINT) BETWEEN {low} AND {high} THEN '{name}'" for name, (low, high) in fv.CLUSTERS.items()
-) + " END"
+CLUSTER = "CASE zone " + " ".join(f"WHEN '{z}' THEN '{name}'" for z, name in fv.ZONE_CLUSTERS.items()) + " END"
 
 GEO_CTES = f"""
 edges(zone, neighbour) AS (VALUES {EDGES}),

@@ -21,10 +21,7 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 
 def zone_table(spark: SparkSession) -> DataFrame:
     """zone, lat, lon, zone_cluster."""
-    rows = []
-    for zone, (lat, lon) in fv.ZONE_CENTRES.items():
-        cluster = next(c for c, (first, last) in fv.CLUSTERS.items() if first <= int(zone) <= last)
-        rows.append((zone, lat, lon, cluster))
+    rows = [(zone, lat, lon, fv.ZONE_CLUSTERS[zone]) for zone, (lat, lon) in fv.ZONE_CENTRES.items()]
     return small_table(spark, rows, "zone string, lat double, lon double, zone_cluster string")
 
 
