@@ -316,26 +316,12 @@ def set_overlap(first: DataFrame, second: DataFrame, column: str = "feature") ->
 # Anchors and counterfactuals --------------------------------------------------
 
 
-def anchor(df: DataFrame, features: Sequence[str], score: Score, row: dict[str, float], threshold: float = 0.9,
-           beam: int = 4) -> DataFrame:
-    """The shortest rule on quartile bins under which the prediction stays in the row's prediction quartile.
-
-    Each level is one pass that counts coverage and hits of all candidate rules
-    at once; only those counts reach the driver. Among the rules of the first
-    level that reach `threshold`, the one with the widest coverage wins; if none
-    does, the most precise rule of the last level is returned.
-    """
-    features = list(features)
-    spark = df.sparkSession
-    scored = score(df)
+def quartile_rule(df: DataFrame, features: Sequence[str], row: dict[str, float]) -> tuple[list[Column], list[str]]:
+    """Per feature the condition, and its text, that holds in the row's quartile bin; without data it always holds."""
     edges = quartile_edges(df, features).first()["edges"]
-    cuts = quantiles(scored, "prediction", [0.25, 0.5, 0.75], name="c").select(F.array_distinct("c")).first()[0]
-    own = score(spark.createDataFrame([tuple(float(row[f]) for f in features)], ", ".join(f"{f} double" for f in features)))
-    predicted = float(own.select("prediction").first()[0])
-    target = sum(1 for c in cuts if c < predicted)
     conditions, texts = [], []
     for f in features:
-        inner = list(edges[f])[1:-1]
+        inner = list((edges and edges[f]) or [])[1:-1]
         at = sum(1 for e in inner if e < float(row[f]))
         low = inner[at - 1] if at > 0 else None
         high = inner[at] if at < len(inner) else None
@@ -348,9 +334,40 @@ def anchor(df: DataFrame, features: Sequence[str], score: Score, row: dict[str,
         left = f"{low:.2f} < " if low is not None and high is not None else ""
         right = f" <= {high:.2f}" if high is not None else f" > {low:.2f}" if low is not None else ""
         texts.append(f"{left}{f}{right}")
+    return conditions, texts
+
+
+def prediction_quartile(scored: DataFrame, features: Sequence[str], score: Score, row: dict[str, float]) -> tuple[float, Column]:
+    """The row's prediction, and whether a prediction lies in the same quartile of all predictions."""
+    cuts = quantiles(scored, "prediction", [0.25, 0.5, 0.75], name="c").select(F.array_distinct("c")).first()[0]
+    one = [tuple(float(row[f]) for f in features)]
+    own = score(scored.sparkSession.createDataFrame(one, ", ".join(f"{f} double" for f in features)))
+    predicted = float(own.select("prediction").first()[0])
+    cuts = [c for c in cuts or [] if c is not None]
+    if not cuts:
+        return predicted, F.lit(True)
+    target = sum(1 for c in cuts if c < predicted)
+    edges = f"array({', '.join(f'{float(c)!r}D' for c in cuts)})"
+    return predicted, bucket_of("prediction", edges, 4) == target
+
+
+def anchor(df: DataFrame, features: Sequence[str], score: Score, row: dict[str, float], threshold: float = 0.9,
+           beam: int = 4) -> DataFrame:
+    """The shortest rule on quartile bins under which the prediction stays in the row's prediction quartile.
+
+    Each level is one pass that counts coverage and hits of all candidate rules
+    at once; only those counts reach the driver. Among the rules of the first
+    level that reach `threshold`, the one with the widest coverage wins; if none
+    does, the most precise rule of the last level is returned.
+    """
+    features = list(features)
+    spark = df.sparkSession
+    scored = score(df)
+    conditions, texts = quartile_rule(df, features, row)
+    predicted, same_quartile = prediction_quartile(scored, features, score, row)
     flags = scored.select(
         *[c.alias(f"_f{i}") for i, c in enumerate(conditions)],
-        (bucket_of("prediction", f"array({', '.join(f'{float(c)!r}D' for c in cuts)})", 4) == target).alias("_hit"),
+        same_quartile.alias("_hit"),
     )
     kept: list[tuple[int, ...]] = [()]
     chosen, chosen_stats = (), (0.0, 0.0)

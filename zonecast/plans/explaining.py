@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecast import fixed_values as fv
+from zonecast.operators import anchors as an
 from zonecast.operators import explain as ex
 from zonecast.operators import modeling as mo
 from zonecast.operators import selecting as se
@@ -38,6 +39,11 @@ def inputs(spark: SparkSession, folder: str) -> DataFrame:
     return wide.select(*KEYS, "demand", "weather", F.hour("timestamp").cast("double").alias("hour"), *[n for n in NAMES if n != "hour"])
 
 
+def stored_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """The inputs written once: grids, edges and ranges read them again."""
+    return checkpointed(spark, inputs(spark, folder))
+
+
 def _grid(feature: str, points: int, low: float, high: float) -> str:
     return f"""(SELECT CAST(i AS BIGINT) AS i, lo + i * (hi - lo) / {points - 1} AS v FROM range({points}) t(i),
 (SELECT quantile_cont({feature}, {low}) AS lo, quantile_cont({feature}, {high}) AS hi FROM x))"""
@@ -56,19 +62,19 @@ PDP_FEATURE, PDP_POINTS = "temperature_c", 50
 @query("pdp", f"""WITH {INPUT}, g AS {_grid(PDP_FEATURE, PDP_POINTS, 0.05, 0.95)}
 SELECT i AS grid_id, {q.r('v')} AS grid_value, {q.r(f'avg({_at(temperature_c="v")})')} AS avg_pred FROM x, g GROUP BY i, v""")
 def pdp(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(ex.pdp(inputs(spark, folder), PDP_FEATURE, MODEL, PDP_POINTS))
+    return tidy(ex.pdp(stored_inputs(spark, folder), PDP_FEATURE, MODEL, PDP_POINTS))
 
 
 @query("pdp_grid_join", f"""WITH {INPUT}, g AS {_grid(PDP_FEATURE, 5, 0.05, 0.95)}
 SELECT timestamp, zone, i AS grid_id, {q.r('v')} AS grid_value, {q.r(_at(temperature_c="v"))} AS prediction FROM x, g""")
 def pdp_grid_join(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(ex.over_grid(inputs(spark, folder), PDP_FEATURE, MODEL, 5, KEYS))
+    return tidy(ex.over_grid(stored_inputs(spark, folder), PDP_FEATURE, MODEL, 5, KEYS))
 
 
 @query("ice", f"""WITH {INPUT}, g AS {_grid('demand_lag_24h', 10, 0.05, 0.95)}
 SELECT timestamp, zone, i AS grid_id, {q.r('v')} AS grid_value, {q.r(_at(demand_lag_24h="v"), 9)} AS prediction FROM x, g""")
 def ice(spark: SparkSession, folder: str) -> DataFrame:
-    out = ex.ice(inputs(spark, folder), "demand_lag_24h", MODEL, points=10)
+    out = ex.ice(stored_inputs(spark, folder), "demand_lag_24h", MODEL, points=10)
     return tidy(out.withColumn("grid_value", F.round("grid_value", 6)), 9)
 
 
@@ -79,13 +85,13 @@ centred AS (SELECT *, p - first_value(p) OVER (PARTITION BY timestamp, zone ORDE
 
 @query("ice_centred", CENTRED + f" SELECT timestamp, zone, i AS grid_id, {q.r('c')} AS centred FROM centred")
 def ice_centred(spark: SparkSession, folder: str) -> DataFrame:
-    curves = ex.ice(inputs(spark, folder), "demand_lag_24h", MODEL, points=10)
+    curves = ex.ice(stored_inputs(spark, folder), "demand_lag_24h", MODEL, points=10)
     return tidy(ex.ice_centred(curves).select(*KEYS, "grid_id", "centred"))
 
 
 @query("ice_mean", CENTRED + f" SELECT i AS grid_id, {q.r('v')} AS grid_value, {q.r('avg(c)')} AS avg_centred FROM centred GROUP BY i, v")
 def ice_mean(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(ex.mean_centred(ex.ice_centred(ex.ice(inputs(spark, folder), "demand_lag_24h", MODEL, points=10))))
+    return tidy(ex.mean_centred(ex.ice_centred(ex.ice(stored_inputs(spark, folder), "demand_lag_24h", MODEL, points=10))))
 
 
 @query("pdp_2d", f"""WITH {INPUT}, g AS {_grid('temperature_c', 20, 0.1, 0.9)}, h AS {_grid('hour', 20, 0.1, 0.9)},
@@ -93,7 +99,7 @@ means AS (SELECT {', '.join(f'avg({n}) AS {n}' for n in NAMES)} FROM x)
 SELECT g.i AS i, h.i AS j, {q.r('g.v')} AS v1, {q.r('h.v')} AS v2, {q.r(_at(temperature_c="g.v", hour="h.v"))} AS avg_pred FROM means, g, h""")
 def pdp_2d(spark: SparkSession, folder: str) -> DataFrame:
     """The SQL uses that the mean of a linear score is the score of the means."""
-    return tidy(ex.pdp_2d(inputs(spark, folder), "temperature_c", "hour", MODEL, 20))
+    return tidy(ex.pdp_2d(stored_inputs(spark, folder), "temperature_c", "hour", MODEL, 20))
 
 
 # Against a single background row of column means, a linear score's attribution
@@ -205,17 +211,28 @@ def top_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("lime_batch")
 def lime_batch(spark: SparkSession, folder: str) -> DataFrame:
-    return ex.lime(inputs(spark, folder), NAMES, MODEL, draws=50)
+    return ex.lime(stored_inputs(spark, folder), NAMES, MODEL, draws=50)
+
+
+def best_row(df: DataFrame) -> dict[str, float]:
+    """The inputs of the row with the highest score."""
+    return MODEL(df).agg(F.max_by(F.struct(*NAMES), F.struct("prediction", *KEYS)).alias("r")).first()["r"].asDict()
 
 
 @query("anchor_rules")
 def anchor_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """The rule for the row with the highest score."""
-    df = checkpointed(spark, inputs(spark, folder))
-    best = MODEL(df).agg(F.max_by(F.struct(*NAMES), F.struct("prediction", *KEYS)).alias("r")).first()["r"]
-    return ex.anchor(df, NAMES, MODEL, best.asDict())
+    """The rule for the row with the highest score, by perturbation."""
+    df = stored_inputs(spark, folder)
+    return an.anchor(df, NAMES, MODEL, best_row(df))
+
+
+@query("anchor_rules_counted")
+def anchor_rules_counted(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule for the same row, counted on the rows themselves."""
+    df = stored_inputs(spark, folder)
+    return ex.anchor(df, NAMES, MODEL, best_row(df))
 
 
 @query("counterfactuals")
 def counterfactuals(spark: SparkSession, folder: str) -> DataFrame:
-    return ex.counterfactuals(inputs(spark, folder), NAMES, MODEL, (3.0, 6.0), n=3, vary=["demand_lag_24h", "temperature_c", "hour"], tries=40)
+    return ex.counterfactuals(stored_inputs(spark, folder), NAMES, MODEL, (3.0, 6.0), n=3, vary=["demand_lag_24h", "temperature_c", "hour"], tries=40)
