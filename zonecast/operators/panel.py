@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from zonecast import fixed_values as fv
 from zonecast.operators.history import over_history
+from zonecast.session import checkpointed
 from zonecast.sources.dimensions import small_table
 
 
@@ -121,12 +122,12 @@ def demand_panel(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 def panel_spine(events: DataFrame, zones: DataFrame) -> DataFrame:
     """Zones x hours grid with the event count of each cell, 0 where there is none."""
-    counts = (
+    # Stored, as the ends of the grid and its cells both come from it: the events are read once.
+    counts = checkpointed(events.sparkSession, (
         events.groupBy(hour_start(F.col("ts")).alias("timestamp"), zone_of(F.col("user_id")).alias("zone"))
         .agg(F.count(F.lit(1)).alias("demand"))
-    )
-    first_hour = events.agg(hour_start(F.min("ts")).alias("h")).scalar()
-    last_hour = events.agg(hour_start(F.max("ts")).alias("h")).scalar()
+    ))
+    first_hour, last_hour = (counts.agg(end("timestamp").alias("h")).scalar() for end in (F.min, F.max))
     grid = spine(zones, first_hour, last_hour)
     return grid.join(counts, ["timestamp", "zone"], "left").select(
         "timestamp", "zone", F.coalesce("demand", F.lit(0)).cast("long").alias("demand")

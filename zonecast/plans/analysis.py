@@ -514,7 +514,7 @@ def daily_total(spark: SparkSession, folder: str) -> DataFrame:
 SELECT date_trunc('day', timestamp)::TIMESTAMP AS day, CAST(sum(demand) AS BIGINT) AS demand FROM rides GROUP BY 1)
 WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"""))
 def moving_average_7d(spark: SparkSession, folder: str) -> DataFrame:
-    out = eda.moving_average(eda.daily_total(rides(spark, folder)))
+    out = eda.moving_average(checkpointed(spark, eda.daily_total(rides(spark, folder))))
     return tidy(out.withColumn("day", F.col("day").cast("timestamp_ntz")))
 
 

@@ -13,7 +13,7 @@ from zonecast.operators import panel as pn
 from zonecast.operators import pricing as pr
 from zonecast.operators import temporal as tp
 from zonecast.plans import sql as q
-from zonecast.plans.registry import query, rides, rounded, scored, tidy
+from zonecast.plans.registry import query, rides, rounded, scored, stored_rides, tidy
 from zonecast.sources import dimensions, tables
 
 KEYS = ["timestamp", "zone"]
@@ -25,7 +25,7 @@ def pick(df: DataFrame, names: list[str], places: int = 6, whole: tuple[str, ...
 
 def all_features(spark: SparkSession, folder: str) -> DataFrame:
     """The panel with its 71 features."""
-    return geo.add_geo(spark, tp.add_temporal(rides(spark, folder), dense=True))
+    return geo.add_geo(spark, tp.add_temporal(stored_rides(spark, folder), dense=True))
 
 
 CAL = tuple(tp.CALENDAR_COLUMNS)
@@ -54,7 +54,7 @@ FOURIER = q.fourier({name: q.SINCE_START for name in fv.FOURIER_PERIODS})
 
 @query("fourier_features", q.with_rides(f"SELECT timestamp, zone, {q.columns(FOURIER)} FROM rides"))
 def fourier_features(spark: SparkSession, folder: str) -> DataFrame:
-    return pick(tp.add_fourier(rides(spark, folder)), list(FOURIER))
+    return pick(tp.add_fourier(stored_rides(spark, folder)), list(FOURIER))
 
 
 @query("lag_features", q.with_rides(f"SELECT timestamp, zone, demand, {q.columns(q.lags())} FROM rides"))
@@ -85,7 +85,7 @@ def velocity_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("temporal_features", q.with_rides(f"SELECT timestamp, zone, {q.columns(q.TEMPORAL, CAL)} FROM rides"))
 def temporal_features(spark: SparkSession, folder: str) -> DataFrame:
-    return pick(tp.add_temporal(rides(spark, folder), dense=True), list(q.TEMPORAL), whole=CAL)
+    return pick(tp.add_temporal(stored_rides(spark, folder), dense=True), list(q.TEMPORAL), whole=CAL)
 
 
 def geo_sql(names: list[str]) -> str:
@@ -115,7 +115,7 @@ def poi_proximity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("adjacency_demand", geo_sql(["adj_zone_demand"]))
 def adjacency_demand(spark: SparkSession, folder: str) -> DataFrame:
-    return pick(geo.add_neighbour_demand(spark, rides(spark, folder)), ["adj_zone_demand"])
+    return pick(geo.add_neighbour_demand(spark, stored_rides(spark, folder)), ["adj_zone_demand"])
 
 
 @query("demand_share", geo_sql(["demand_share"]))
@@ -130,7 +130,7 @@ def demand_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("geo_features", geo_sql(list(q.GEO)))
 def geo_features(spark: SparkSession, folder: str) -> DataFrame:
-    return pick(geo.add_geo(spark, rides(spark, folder)), list(q.GEO))
+    return pick(geo.add_geo(spark, stored_rides(spark, folder)), list(q.GEO))
 
 
 @query("feature_columns", q.with_features("SELECT feature, count(*) AS n_values FROM " + q.unpivot("features", q.ALL_FEATURES) + " GROUP BY feature"))

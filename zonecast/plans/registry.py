@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecast.operators import panel as pn
+from zonecast.session import checkpointed
 from zonecast.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,11 @@ def rides(spark: SparkSession, folder: str) -> DataFrame:
     return pn.demand_panel(spark, tables.events(spark, folder))
 
 
+def stored_rides(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel written once, for queries that read it in several branches: the events are scanned once."""
+    return checkpointed(spark, rides(spark, folder))
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     return pn.scored_panel(rides(spark, folder))
 
