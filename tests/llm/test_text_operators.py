@@ -211,7 +211,6 @@ def test_chat_of_nothing(spark):
 
 def test_lm_base_counts_and_model(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 0.01)
-    monkeypatch.setattr(lm, "CLUSTERED", 0.02)
     monkeypatch.setattr(lm, "CLASSES", 4)
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["The", "a", "Big", "red"]) + " " + rng.choice(["cat", "dog", f"n{rng.randrange(300)}"]) for _ in range(20)) for _ in range(150)]
@@ -233,6 +232,44 @@ def test_lm_base_counts_and_model(spark, docs, monkeypatch):
     assert model > unigram  # adjectives and nouns alternate, which only classes can tell
 
 
+def test_lm_scores_equal_a_plain_class_model(spark, docs, monkeypatch):
+    """Classes are taken from the operator; counts, transitions and shares are made anew without it."""
+    classes = 4
+    monkeypatch.setattr(lm, "CLASSES", classes)
+    monkeypatch.setattr(lm, "FREQUENT", 1e-3)
+    kept, cluster = {}, lm.cluster
+    monkeypatch.setattr(lm, "cluster", lambda *a, **k: kept.setdefault("out", cluster(*a, **k)))
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the", "a", "big"]) + " " + rng.choice(["cat", "dog", f"n{rng.randrange(60)}", f"r{i}"]) for _ in range(12)) for i in range(160)]
+    texts += [None, "", texts[3], "never seen", "the " * 3000]
+    got = {r["doc_id"]: r for r in lm.score(spark, docs(texts)).collect()}
+    lines = {i: [" ", *((t or "").split()), " "] for i, t in enumerate(texts)}
+    train = [w for i, w in lines.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(t for w in train for t in w[1:])
+    # All words seen often enough are sorted into classes, however small their share above the bound.
+    ranked = sorted((w for w in count if w != " " and count[w] >= max(20, 1e-3 * sum(count.values()))), key=lambda w: (-count[w], w))
+    assert len(ranked) > 10 and len(kept["out"][0]) == len(ranked) + 2
+    cls = dict(zip(ranked, kept["out"][0][1:-1].tolist())) | {" ": classes}
+    assert all(0 <= cls[w] < classes for w in ranked)
+    at = lambda w: cls.get(w, classes + 1)
+    steps = Counter((at(a), at(b)) for w in train for a, b in zip(w, w[1:]))
+    table = np.array([[steps[i, j] for j in range(classes + 2)] for i in range(classes + 2)], float)
+    np.testing.assert_array_equal(table, kept["out"][1])
+    tokens, kinds = Counter(), Counter()
+    for w, c in count.items():
+        tokens[at(w)] += c
+        kinds[at(w)] += 1
+    kinds[classes + 1] += 1  # words never seen
+
+    def share(w):
+        return 1.0 if w == " " else (count[w] + 1) / (tokens[at(w)] + kinds[at(w)])
+
+    for i, w in lines.items():
+        want = sum(
+            math.log10((steps[at(a), at(b)] + 0.1) / (table[at(a)].sum() + 0.1 * (classes + 2)) * share(b)) for a, b in zip(w, w[1:]))
+        assert got[i]["score"] == pytest.approx(want), i
+
+
 def test_lm_exchange_finds_alternating_classes():
     table = np.zeros((5, 5))
     table[0, 1], table[1, 0], table[2, 0], table[0, 2] = 50, 50, 30, 30

@@ -6,11 +6,12 @@ its tokens, of the class transition and of the word's share in its class; a
 text starts after an end token and ends with one.
 
 * Counting: all training words, combined in each task before the shuffle.
-* Exchange: the words whose share of all tokens is at least `CLUSTERED` are
-  moved between `CLASSES` classes; end tokens and all other words have classes
-  of their own. Word bigrams over these are counted once, from all training
-  texts. In each round half of the words (by hash) move to the class with the
-  largest gain, as long as the likelihood grows.
+* Exchange: the words seen at least `SEEN` times with a share of at least
+  `FREQUENT` of all tokens are moved between `CLASSES` classes; end tokens and
+  all other words have classes of their own. Word bigrams over these are counted
+  once, from all training texts. In each round half of the words move to the
+  class with the largest gain; a round whose moves together lose likelihood is
+  tried again with half of them, and half of those, before it is given up.
 * Scoring: words with a share of at least `FREQUENT` (at most 1 / FREQUENT of
   them, whatever the corpus) are looked up in a broadcast table; the counts of
   the others are joined on the cluster.
@@ -31,6 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,10 @@ from zonecast.session import checkpointed
 
 FOLDS, HELD = 7, 2
 FREQUENT = 1e-6
-CLUSTERED = 5e-5
+SEEN = 20
 CLASSES = 64
 ROUNDS = 6
+HALVINGS = 3
 ALPHA = 0.1
 #: Stands for the end token among words; no word holds a space.
 END = " "
@@ -212,12 +215,19 @@ def cluster(spark: SparkSession, bigrams: DataFrame, n_words: int, classes: int
         context = sides.mapInArrow(classed, "w bigint, k bigint, n bigint").groupBy("w", "k").agg(F.sum("n").alias("n"))
         per_word = context.groupBy("w").agg(F.collect_list("k").alias("ks"), F.collect_list("n").alias("ns"))
         moves = per_word.mapInPandas(choose, "w bigint, best bigint").toArrow()
-        new = of.copy()
-        new[moves["w"].to_numpy()] = moves["best"].to_numpy()
-        new_table = class_table(new)
-        new_reached = likelihood(new_table)
-        if new_reached > reached:
-            of, table, reached = new, new_table, new_reached
+        moved = moves.filter(pc.not_equal(moves["best"], pa.array(of[moves["w"].to_numpy()])))
+        w, best = moved["w"].to_numpy(), moved["best"].to_numpy()
+        # A multiplicative hash of the word's number: which half is tried does not follow the ranks.
+        lot = (w * 2654435761 + turn) % (1 << 32)
+        for half in range(HALVINGS + 1 if len(w) else 0):
+            taken = lot < (1 << (32 - half))
+            new = of.copy()
+            new[w[taken]] = best[taken]
+            new_table = class_table(new)
+            new_reached = likelihood(new_table)
+            if new_reached > reached:
+                of, table, reached = new, new_table, new_reached
+                break
     return of, table
 
 
@@ -276,7 +286,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # At most 1 / FREQUENT words can have that share.
     frequent = [(r["word"], r["c"]) for r in counts.where(
         (F.col("c") >= FREQUENT * train_tokens) & (F.col("c") > 0)).orderBy(F.desc("c"), "word").toLocalIterator()]
-    clustered = [w for w, c in frequent if w != END and c >= CLUSTERED * train_tokens]
+    clustered = [w for w, c in frequent if w != END and c >= SEEN]
     bigrams = checkpointed(spark, bigram_counts(spark, training, clustered))
     of, table = cluster(spark, bigrams, len(clustered), CLASSES)
     model = Model(frequent, of, table, clustered, train_tokens, vocabulary, CLASSES)
