@@ -240,7 +240,7 @@ def test_lm_scores_equal_a_plain_class_model(spark, docs, monkeypatch):
     kept, cluster = {}, lm.cluster
     monkeypatch.setattr(lm, "cluster", lambda *a, **k: kept.setdefault("out", cluster(*a, **k)))
     rng = random.Random(9)
-    texts = [" ".join(rng.choice(["the", "a", "big"]) + " " + rng.choice(["cat", "dog", f"n{rng.randrange(60)}", f"r{i}"]) for _ in range(12)) for i in range(160)]
+    texts = [" ".join(rng.choice(["the", "a", "big"]) + " " + rng.choice(["cat", "dog", f"n{rng.randrange(12)}", f"r{i}"]) for _ in range(12)) for i in range(160)]
     texts += [None, "", texts[3], "never seen", "the " * 3000]
     got = {r["doc_id"]: r for r in lm.score(spark, docs(texts)).collect()}
     lines = {i: [" ", *((t or "").split()), " "] for i, t in enumerate(texts)}
