@@ -190,17 +190,28 @@ def cluster(spark: SparkSession, bigrams: DataFrame, n_words: int, classes: int
     reached = likelihood(table)
     for turn in range(rounds if n_words else 0):
         now, tab = spark.sparkContext.broadcast(of), spark.sparkContext.broadcast(table)
-        sides = bigrams.select("a", F.explode(F.array(
-            F.struct(F.col("a").alias("w"), F.lit(1).alias("right"), F.col("b").alias("other")),
-            F.struct(F.col("b").alias("w"), F.lit(0).alias("right"), F.col("a").alias("other")),
-        )).alias("s"), "n").select("s.*", "n").where((F.col("w") > 0) & (F.col("w") <= n_words) & (F.col("w") % 2 == turn % 2))
 
-        def classed(batches, now=now):
-            for b in batches:
-                w, right, other, n = (b.column(i).to_numpy() for i in range(4))
-                key, where = np.unique((w * 2 + right) * total + now.value[other], return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key // (2 * total)), pa.array(key % (2 * total)), pa.array(np.bincount(where, n).astype(np.int64))], ["w", "k", "n"])
+        def classed(batches, now=now, turn=turn):
+            """Counts of (word, side and class of the neighbour) for the words of this round, combined for many rows at a time."""
+
+            def combined(keys, counts):
+                key, where = np.unique(np.concatenate(keys), return_inverse=True)
+                n = np.bincount(where, np.concatenate(counts)).astype(np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(key // (2 * total)), pa.array(key % (2 * total)), pa.array(n)], ["w", "k", "n"])
+
+            keys, counts, size = [], [], 0
+            for batch in batches:
+                x, y, n = (batch.column(i).to_numpy() for i in range(3))
+                for right, w, other in ((1, x, y), (0, y, x)):
+                    mine = (w > 0) & (w <= n_words) & (w % 2 == turn % 2)
+                    keys.append((w[mine] * 2 + right) * total + now.value[other[mine]])
+                    counts.append(n[mine])
+                    size += len(keys[-1])
+                if size > 1_000_000:
+                    yield combined(keys, counts)
+                    keys, counts, size = [], [], 0
+            if size:
+                yield combined(keys, counts)
 
         def choose(frames, now=now, tab=tab):
             import pandas as pd
@@ -212,7 +223,8 @@ def cluster(spark: SparkSession, bigrams: DataFrame, n_words: int, classes: int
                     found.append(best_class(both[:total], both[total:], int(now.value[w]), tab.value, classes))
                 yield pd.DataFrame({"w": f["w"], "best": found})
 
-        context = sides.mapInArrow(classed, "w bigint, k bigint, n bigint").groupBy("w", "k").agg(F.sum("n").alias("n"))
+        # Dealt by word alone, so that both groupings need one shuffle; a word has at most 2 * total rows a million bigrams.
+        context = bigrams.mapInArrow(classed, "w bigint, k bigint, n bigint").repartition("w").groupBy("w", "k").agg(F.sum("n").alias("n"))
         per_word = context.groupBy("w").agg(F.collect_list("k").alias("ks"), F.collect_list("n").alias("ns"))
         moves = per_word.mapInPandas(choose, "w bigint, best bigint").toArrow()
         moved = moves.filter(pc.not_equal(moves["best"], pa.array(of[moves["w"].to_numpy()])))
