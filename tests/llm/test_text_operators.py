@@ -279,6 +279,65 @@ def test_lm_exchange_finds_alternating_classes():
     assert lm.best_class(left, right, 2, table, 3) == 0
 
 
+def test_lm_blocks_hold_all_neighbours_of_a_word(spark, docs, monkeypatch):
+    """Rounds need no shuffle: a word lies in one block, with every follower and predecessor."""
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 300)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice([*words, f"r{i}"]) for _ in range(rng.randrange(25))) for i in range(90)] + [None, "", "x y", "w1 w1 w1"]
+    number = {" ": 0} | {w: i + 1 for i, w in enumerate(words)}
+    want = Counter()
+    for t in texts:
+        ids = [number.get(w, 31) for w in [" ", *(t or "").split(), " "]]
+        want.update(zip(ids, ids[1:]))
+    rows = lm.packed(lm.bigram_counts(spark, docs(texts), words), 30, sum(want.values())).collect()
+    assert len(rows) > 4
+    right, left, last, at = Counter(), Counter(), Counter(), {}
+    for r in rows:
+        x = {k: np.frombuffer(r[k], "<i8" if k == "last" else "<u4") for k in ("words", "sizes", "right", "right_n", "left", "left_n", "last")}
+        for i, w in enumerate(x["words"].tolist()):
+            assert at.setdefault(w, r["block"]) == r["block"] and (not 0 < w <= 30 or w % 2 == r["block"] % 2)
+            last[w, 0], last[w, 31] = x["last"].reshape(-1, 2)[i].tolist()
+        for found, sizes, other, n in ((right, x["sizes"][::2], x["right"], x["right_n"]), (left, x["sizes"][1::2], x["left"], x["left_n"])):
+            for w, o, k in zip(np.repeat(x["words"], sizes).tolist(), other.tolist(), n.tolist(), strict=True):
+                assert (w, o) not in found
+                found[w, o] = k
+    word = range(1, 31)
+    assert len(at) == 32
+    assert right == {(a, b): n for (a, b), n in want.items() if a in word}
+    assert left == {(b, a): n for (a, b), n in want.items() if b in word or a not in word}
+    assert +last == {(a, b): n for (a, b), n in want.items() if a in word and b not in word}
+
+
+def test_lm_best_classes_of_many_words_equal_those_word_by_word():
+    """The gains of all words at once, of neighbours only, against sums over every cell."""
+    rng = np.random.default_rng(3)
+    classes, total, n = 6, 8, 90
+    own = rng.integers(0, classes, n)
+    pairs = rng.poisson(rng.random((n, 1)) * 0.4, (n, n))
+    one = np.eye(total, dtype=int)[own]
+    table = (one.T @ pairs @ one).astype(float)
+    left, right = pairs.T @ one, pairs @ one
+    assert (left == 0).any() and (right == 0).any()
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+
+    def gains(i):
+        rest = table.copy()
+        rest[own[i]] -= right[i]
+        rest[:, own[i]] -= left[i]
+        rest = np.maximum(rest, 0)
+        for k in range(total):
+            cells = sum(f(rest[k, j] + right[i, j]) - f(rest[k, j]) + f(rest[j, k] + left[i, j]) - f(rest[j, k]) for j in range(total))
+            row, col = rest[k].sum(), rest[:, k].sum()
+            yield cells - (f(row + right[i].sum()) - f(row) + f(col + left[i].sum()) - f(col))
+
+    got = lm.best_classes(left, right, own, table, classes)
+    for i in range(n):
+        of_each = list(gains(i))[:classes]
+        assert of_each[got[i]] == pytest.approx(max(of_each), abs=1e-6)
+    assert (got != own).any()
+
+
 def test_lm_of_nothing(spark, docs):
     assert lm.score(spark, docs(["x"]).limit(0)).count() == 0
 

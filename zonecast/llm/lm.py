@@ -9,9 +9,11 @@ text starts after an end token and ends with one.
 * Exchange: the words seen at least `SEEN` times with a share of at least
   `FREQUENT` of all tokens are moved between `CLASSES` classes; end tokens and
   all other words have classes of their own. Word bigrams over these are counted
-  once, from all training texts. In each round half of the words move to the
-  class with the largest gain; a round whose moves together lose likelihood is
-  tried again with half of them, and half of those, before it is given up.
+  once, from all training texts, and stored by word in blocks: all neighbours of
+  a word lie in one row, so that rounds read them in place and shuffle nothing.
+  In each round half of the words move to the class with the largest gain; a
+  round whose moves together lose likelihood is tried again with half of them,
+  and half of those, before it is given up.
 * Scoring: words with a share of at least `FREQUENT` (at most 1 / FREQUENT of
   them, whatever the corpus) are looked up in a broadcast table; the counts of
   the others are joined on the cluster.
@@ -33,10 +35,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.llm.base import lower_words_of
+from zonecast.llm.base import lower_words_of, sliced
 from zonecast.session import checkpointed
 
 FOLDS, HELD = 7, 2
@@ -46,6 +49,8 @@ CLASSES = 64
 ROUNDS = 6
 HALVINGS = 3
 ALPHA = 0.1
+#: Training tokens and words to a block of the stored bigrams; a word's neighbours stay together.
+BLOCK_TOKENS, BLOCK_WORDS = 500_000, 1_000
 #: Stands for the end token among words; no word holds a space.
 END = " "
 
@@ -88,43 +93,95 @@ def bigram_counts(spark: SparkSession, docs: DataFrame, words: list[str]) -> Dat
 
     def run(batches):
         number = Numbers({w.encode(): i + 1 for i, w in enumerate(shared.value)}, base - 1)
-        keys, counts, waiting, size = [], [], [], 0
-
-        def settle():
-            k, n = np.unique(np.concatenate(waiting), return_counts=True)
-            waiting.clear()
-            keys.append(k)
-            counts.append(n)
-
-        def merged():
-            distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.int64)
-            keys[:], counts[:] = [distinct], [n]
-            return distinct, n
+        waiting, size = [], 0
 
         def out():
-            distinct, n = merged()
-            keys.clear(), counts.clear()
+            distinct, n = np.unique(np.concatenate(waiting), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(distinct // base), pa.array(distinct % base), pa.array(n)], ["a", "b", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 ids = np.array([0, *map(number.__getitem__, lower_words_of(text)), 0], np.int64)
                 waiting.append(ids[:-1] * base + ids[1:])
                 size += len(ids)
-                if size > 200_000:
-                    settle()
-                    size = 0
-                    if sum(map(len, keys)) > 4_000_000 and len(merged()[0]) > 2_000_000:
-                        yield out()
+                if size > 4_000_000:
+                    yield out()
+                    waiting, size = [], 0
         if waiting:
-            settle()
-        if keys:
             yield out()
 
     return docs.select("text").mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def packed(bigrams: DataFrame, n_words: int, tokens: int) -> DataFrame:
+    """The bigrams by word: blocks of words with the followers and predecessors of each.
+
+    A block holds the words with one remainder, in ascending order, so that
+    frequent ones are dealt evenly and a block has words of one parity. Numbers
+    are little-endian in binary columns: `words`; `sizes`, how many followers and
+    predecessors each has; `right` and `right_n`, the followers and how often
+    they follow; `left` and `left_n` likewise; `last`, how often the end and any
+    other word follow. The end and the other words come with each other only: the
+    rest of their neighbours is stored with these.
+    """
+    blocks = 2 * max(1, -(-tokens // BLOCK_TOKENS), -(-n_words // (2 * BLOCK_WORDS)))
+
+    def dealt(batches):
+        held, size = [], 0
+
+        def out():
+            w, other, n = (np.concatenate(x) for x in zip(*held))
+            block = (w >> 1) % blocks
+            order = np.argsort(block, kind="stable")
+            w, other, n = w[order], other[order], n[order]
+            block, at = np.unique(block[order], return_index=True)
+            cut = [*at.tolist(), len(w)]
+            binary = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(block, pa.int64()), binary(w), binary(other), binary(n)], ["block", "w", "other", "n"])
+
+        for batch in batches:
+            a, b, n = (batch.column(i).to_numpy() for i in range(3))
+            inner_a, inner_b = (a > 0) & (a <= n_words), (b > 0) & (b <= n_words)
+            for right, w, other, mine in ((1, a, b, inner_a), (0, b, a, inner_b | ~inner_a)):
+                held.append(((w[mine] * 2 + right).astype("<i4"), other[mine].astype("<i4"), n[mine].astype("<i8")))
+                size += len(held[-1][0])
+            if size > 1_000_000:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    def joined(table):
+        whole = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        w, other, n = whole("w", "<i4"), whole("other", "<i4"), whole("n", "<i8")
+        order = np.argsort(w, kind="stable")
+        w, other, n = w[order], other[order], n[order]
+        words = np.unique(w >> 1)
+        place, right = np.searchsorted(words, w >> 1), w & 1 == 1
+        sizes = np.bincount(place * 2 + (1 - (w & 1)), minlength=2 * len(words))
+        last = np.zeros((len(words), 2), np.int64)
+        for column, number in enumerate((0, n_words + 1)):
+            mine = right & (other == number)
+            last[place[mine], column] = n[mine]
+        # Four bytes a count where they do.
+        narrow = "<u4" if n.max(initial=0) < 1 << 32 else "<i8"
+        row = {
+            "words": words.astype("<i4"), "sizes": sizes.astype("<i4"), "right": other[right], "right_n": n[right].astype(narrow),
+            "left": other[~right], "left_n": n[~right].astype(narrow), "last": last.astype("<i8"),
+        }
+        return pa.table({"block": table["block"][:1], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in row.items()}})
+
+    return bigrams.mapInArrow(dealt, "block bigint, w binary, other binary, n binary").groupBy("block").applyInArrow(
+        joined, "block bigint, words binary, sizes binary, right binary, right_n binary, left binary, left_n binary, last binary")
+
+
+def numbers(value, like=None) -> np.ndarray:
+    """The numbers of a binary value: four bytes each, or eight where there are half as many as in `like`."""
+    buffer = value.as_buffer()
+    return np.frombuffer(buffer, "<i4" if like is None else "<u4" if buffer.size == like.nbytes else "<i8")
+
+
 class Numbers(dict):
     """Numbers of words, with one for all others."""
 
@@ -137,7 +194,11 @@ class Numbers(dict):
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    """x log x for counts; 0 for 0."""
+    log = np.maximum(x, 1.0)
+    np.log(log, out=log)
+    log *= x
+    return log
 
 
 def likelihood(table: np.ndarray) -> float:
@@ -146,27 +207,51 @@ def likelihood(table: np.ndarray) -> float:
 
 
 def best_class(left: np.ndarray, right: np.ndarray, own: int, table: np.ndarray, classes: int) -> int:
-    """The class in which a word raises the likelihood most.
+    """The class in which a word raises the likelihood most."""
+    return int(best_classes(left[None], right[None], np.array([own]), table, classes)[0])
+
+
+def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """The class in which each word raises the likelihood most.
 
-    `right[c]` and `left[c]` count the word's followers and predecessors in
-    class c, `table` the class bigrams of all words.
+    `right[i, c]` and `left[i, c]` count the followers and predecessors of word i
+    in class c, `own[i]` is its class, `table` the class bigrams of all words.
     """
-    rest = table.copy()
-    rest[own] -= right
-    rest[:, own] -= left
-    np.maximum(rest, 0, out=rest)
-    rows, cols = rest.sum(1), rest.sum(0)
-    gain = (xlogx(rest + right) - xlogx(rest)).sum(1) + (xlogx(rest.T + left) - xlogx(rest.T)).sum(1)
-    gain -= xlogx(rows + right.sum()) - xlogx(rows) + xlogx(cols + left.sum()) - xlogx(cols)
-    best = int(np.argmax(gain[:classes]))
-    return best if gain[best] > gain[own] + 1e-9 else own
-
-
-def cluster(spark: SparkSession, bigrams: DataFrame, n_words: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+    known, found = xlogx(table), own.copy()
+    for start in range(0, len(own), 32):
+        part = slice(start, start + 32)
+        r, l, k = right[part], left[part], own[part]  # noqa: E741
+        i = np.arange(len(k))
+        rest = np.repeat(table[None], len(k), 0)
+        rest[i, k] -= r
+        rest[i, :, k] -= l
+        np.maximum(rest, 0, out=rest)
+        # Only the row and the column of the word's class differ from those of the table.
+        before = np.repeat(known[None], len(k), 0)
+        before[i, k] = xlogx(rest[i, k])
+        before[i, :, k] = xlogx(rest[i, :, k])
+        rows, cols = rest.sum(2), rest.sum(1)
+        # Classes that are no neighbours add nothing.
+        change = np.zeros_like(rest)
+        at, c = np.nonzero(r)
+        change[at, :, c] = xlogx(rest[at, :, c] + r[at, c][:, None]) - before[at, :, c]
+        gain = change.sum(2)
+        change[:] = 0
+        at, c = np.nonzero(l)
+        change[at, c] = xlogx(rest[at, c] + l[at, c][:, None]) - before[at, c]
+        gain += change.sum(1)
+        gain -= xlogx(rows + r.sum(1)[:, None]) - xlogx(rows) + xlogx(cols + l.sum(1)[:, None]) - xlogx(cols)
+        best = gain[:, :classes].argmax(1)
+        found[part] = np.where(gain[i, best] > gain[i, k] + 1e-9, best, k)
+    return found
+
+
+def cluster(spark: SparkSession, blocks: DataFrame, n_words: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each number: words in 0..classes-1, the end in `classes`, all others in `classes + 1`.
 
-    Words start dealt by rank. A round sums the word bigrams to the classes of
-    the neighbours on the cluster; the driver keeps one class per word.
+    Words start dealt by rank. A round sums the neighbours of each word, from the
+    blocks of `packed`, to their classes on the cluster; the driver keeps one
+    class per word.
     """
     total = classes + 2
     of = np.array([classes, *(i % classes for i in range(n_words)), classes + 1], np.int64)
@@ -175,13 +260,17 @@ def cluster(spark: SparkSession, bigrams: DataFrame, n_words: int, classes: int
         shared = spark.sparkContext.broadcast(of)
 
         def run(batches):
-            t = np.zeros(total * total)
-            for b in batches:
-                a, c, n = (b.column(i).to_numpy() for i in range(3))
-                t += np.bincount(shared.value[a] * total + shared.value[c], n, total * total)
+            now, t = shared.value, np.zeros(total * total)
+            for batch in batches:
+                for row in zip(*batch.columns):
+                    words, sizes, left, last = map(numbers, row[:4])
+                    mine = now[words]
+                    t += np.bincount(now[left] * total + np.repeat(mine, sizes[1::2]), numbers(row[4], left), total * total)
+                    for other, n in zip((classes, classes + 1), last.view("<i8").reshape(-1, 2).T):
+                        t += np.bincount(mine * total + other, n, total * total)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total * total)), pa.array(t)], ["k", "n"])
 
-        rows = bigrams.mapInArrow(run, "k bigint, n double").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+        rows = blocks.select("words", "sizes", "left", "last", "left_n").mapInArrow(run, "k bigint, n double").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
         t = np.zeros(total * total)
         t[rows["k"].to_numpy()] = rows["n"].to_numpy()
         return t.reshape(total, total)
@@ -191,42 +280,23 @@ def cluster(spark: SparkSession, bigrams: DataFrame, n_words: int, classes: int
     for turn in range(rounds if n_words else 0):
         now, tab = spark.sparkContext.broadcast(of), spark.sparkContext.broadcast(table)
 
-        def classed(batches, now=now, turn=turn):
-            """Counts of (word, side and class of the neighbour) for the words of this round, combined for many rows at a time."""
-
-            def combined(keys, counts):
-                key, where = np.unique(np.concatenate(keys), return_inverse=True)
-                n = np.bincount(where, np.concatenate(counts)).astype(np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(key // (2 * total)), pa.array(key % (2 * total)), pa.array(n)], ["w", "k", "n"])
-
-            keys, counts, size = [], [], 0
+        def choose(batches, now=now, tab=tab):
+            """The best class of the words of this round, whose neighbours are all in the block."""
+            of = now.value
             for batch in batches:
-                x, y, n = (batch.column(i).to_numpy() for i in range(3))
-                for right, w, other in ((1, x, y), (0, y, x)):
-                    mine = (w > 0) & (w <= n_words) & (w % 2 == turn % 2)
-                    keys.append((w[mine] * 2 + right) * total + now.value[other[mine]])
-                    counts.append(n[mine])
-                    size += len(keys[-1])
-                if size > 1_000_000:
-                    yield combined(keys, counts)
-                    keys, counts, size = [], [], 0
-            if size:
-                yield combined(keys, counts)
-
-        def choose(frames, now=now, tab=tab):
-            import pandas as pd
-
-            for f in frames:
-                found = []
-                for w, ks, ns in zip(f["w"], f["ks"], f["ns"]):
-                    both = np.bincount(np.asarray(ks), np.asarray(ns), 2 * total)
-                    found.append(best_class(both[:total], both[total:], int(now.value[w]), tab.value, classes))
-                yield pd.DataFrame({"w": f["w"], "best": found})
-
-        # Dealt by word alone, so that both groupings need one shuffle; a word has at most 2 * total rows a million bigrams.
-        context = bigrams.mapInArrow(classed, "w bigint, k bigint, n bigint").repartition("w").groupBy("w", "k").agg(F.sum("n").alias("n"))
-        per_word = context.groupBy("w").agg(F.collect_list("k").alias("ks"), F.collect_list("n").alias("ns"))
-        moves = per_word.mapInPandas(choose, "w bigint, best bigint").toArrow()
+                for row in zip(*batch.columns):
+                    words, sizes, right, left = map(numbers, row[:4])
+                    both = np.zeros((2, len(words) * total))
+                    for side, (other, n) in enumerate(((right, row[4]), (left, row[5]))):
+                        place = np.repeat(np.arange(len(words)), sizes[side::2])
+                        both[side] = np.bincount(place * total + of[other], numbers(n, other), len(words) * total)
+                    mine = (words > 0) & (words <= n_words)
+                    after, ahead = both.reshape(2, len(words), total)[:, mine]
+                    w = words[mine].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(best_classes(ahead, after, of[w], tab.value, classes))], ["w", "best"])
+
+        moves = blocks.where(F.col("block") % 2 == turn % 2).select("words", "sizes", "right", "left", "right_n", "left_n").mapInArrow(
+            choose, "w bigint, best bigint").toArrow()
         moved = moves.filter(pc.not_equal(moves["best"], pa.array(of[moves["w"].to_numpy()])))
         w, best = moved["w"].to_numpy(), moved["best"].to_numpy()
         # A multiplicative hash of the word's number: which half is tried does not follow the ranks.
@@ -244,8 +314,6 @@ def cluster(spark: SparkSession, bigrams: DataFrame, n_words: int, classes: int
 
 
 def hashed(word: bytes) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
@@ -268,7 +336,8 @@ class Model:
         end = next((c for word, c in rows if word == END), 0)
         self.rest_tokens = train_tokens - end - in_class.sum()
         self.rest_kinds = vocabulary - (end > 0) - kinds.sum() + 1
-        self.words, cls, base, emit, count = {}, [classes], [self.base_of(end)], [0.0], [end]
+        # The end token has number 0; no word of a text is equal to it.
+        self.words, cls, base, emit, count = {END.encode(): 0}, [classes], [self.base_of(end)], [0.0], [end]
         for word, c in rows:
             if word == END:
                 continue
@@ -299,8 +368,8 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     frequent = [(r["word"], r["c"]) for r in counts.where(
         (F.col("c") >= FREQUENT * train_tokens) & (F.col("c") > 0)).orderBy(F.desc("c"), "word").toLocalIterator()]
     clustered = [w for w, c in frequent if w != END and c >= SEEN]
-    bigrams = checkpointed(spark, bigram_counts(spark, training, clustered))
-    of, table = cluster(spark, bigrams, len(clustered), CLASSES)
+    blocks = checkpointed(spark, packed(bigram_counts(spark, training, clustered), len(clustered), train_tokens))
+    of, table = cluster(spark, blocks, len(clustered), CLASSES)
     model = Model(frequent, of, table, clustered, train_tokens, vocabulary, CLASSES)
     shared = spark.sparkContext.broadcast(model)
 
@@ -308,23 +377,36 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         m = shared.value
         last = len(m.cls) - 1
         number = Numbers(m.words, last)
-        for batch in batches:
-            out = {k: [] for k in ("n", "known", "base", "score", "rare", "tf")}
+        for batch in sliced(batches):
+            # All tokens of the piece in a row; an end token closes each text.
+            words, ends = [], []
             for text in batch.column(2).to_pylist():
-                words = lower_words_of(text)
-                ids = np.array([*map(number.__getitem__, words), 0], np.int64)
-                cls = m.cls[ids]
-                out["n"].append(len(ids))
-                out["known"].append(int(((ids != last) & (m.count[ids] > 0)).sum()))
-                out["base"].append(float(m.base[ids].sum()))
-                out["score"].append(float(m.steps[np.concatenate(([m.start], cls[:-1])), cls].sum() + m.emit[ids].sum()))
-                rare = Counter(words[i] for i in np.flatnonzero(ids == last))
-                out["rare"].append([hashed(w) for w in rare])
-                out["tf"].append(list(rare.values()))
-            kinds = {"n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(),
-                     "rare": pa.list_(pa.int64()), "tf": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(out[k], t) for k, t in kinds.items())], ["doc_id", "held_out", *kinds])
+                words += lower_words_of(text)
+                words.append(END.encode())
+                ends.append(len(words))
+            ids, ends = np.fromiter(map(number.__getitem__, words), np.int64, len(words)), np.array(ends)
+            starts = np.concatenate(([0], ends[:-1]))
+            cls = m.cls[ids]
+            before = np.concatenate(([m.start], cls[:-1]))
+            before[starts] = m.start
+            known = np.add.reduceat(((ids != last) & (m.count[ids] > 0)).astype(np.int64), starts)
+            spans = list(zip(starts.tolist(), ends.tolist()))
+            sums = lambda x, spans=spans: np.array([x[i:j].sum() for i, j in spans])
+            rare, times, upto = [], [], [0]
+            places = np.flatnonzero(ids == last)
+            cuts = np.searchsorted(places, ends).tolist()
+            places = places.tolist()
+            for i, j in zip([0, *cuts], cuts):
+                found = Counter([words[k] for k in places[i:j]])
+                rare += map(hashed, found)
+                times += found.values()
+                upto.append(len(rare))
+            offsets = pa.array(upto, pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(ends - starts), pa.array(known), pa.array(sums(m.base[ids])),
+                pa.array(sums(m.steps[before, cls]) + sums(m.emit[ids])),
+                pa.ListArray.from_arrays(offsets, pa.array(rare, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+            ], ["doc_id", "held_out", "n", "known", "base", "score", "rare", "tf"])
 
     schema = "doc_id bigint, held_out boolean, n bigint, known bigint, base double, score double, rare array<bigint>, tf array<bigint>"
     # Numbered by the file and the place in it once written, so that a lost executor changes nothing.
