@@ -12,11 +12,12 @@ shingles. The result is each document's component under these links.
 3. Index lists hold, per shingle, the sets that have it in their prefix (the part
    in which two linked sets must meet), with size and position. Lists are cut
    into blocks by size and position band; a set visits only the blocks in which
-   the bound 1 + min(rest of A, rest of B) can still reach the needed overlap,
-   and skips the others: what linked sets share begins with their first meeting,
-   so later meetings need not be formed. Pairs must meet in as many prefix
-   shingles as the needed overlap leaves over (`least_meetings`), which is
-   counted from the two prefixes before any set is fetched.
+   the bound of `can_link` can still reach the needed overlap, and skips the
+   others. Linked sets meet in as many prefix shingles as the needed overlap
+   leaves over (`least_meetings`). The first of these, up to `MEETINGS`, are
+   counted where lists meet, in one narrow aggregate, so that sets with a chance
+   meeting go no further, however many there are; all of them are then counted
+   from the two prefixes before any set is fetched.
 4. Sets of one list are first compared with a hub only (the list's smallest by
    hash, in a few draws). Of each set its `delta` is kept, the shingles that only
    one of set and hub has. What a set and another one differ in is what only one
@@ -32,6 +33,9 @@ shingles. The result is each document's component under these links.
 6. In a list, only sets outside the list's largest class visit it, so a list of
    one class costs nothing. The pairs left are verified one by one.
 
+Texts and prefixes are dealt by id only for rows that a broadcast of ids, or of
+a filter of bounded size, does not settle (`among`, `without`).
+
 A null text, or one without words, has an empty set: size 0, linked with
 nothing. A text shorter than a shingle has one shingle, the whole of it. Of rows
 that share an id, the set with the smallest digest stands for it in linking;
@@ -48,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from zonecast.llm.base import lower_words_of, sliced, sliced
+from zonecast.llm.base import lower_words_of, sliced
 from zonecast.llm.links import components
 from zonecast.session import checkpointed
 
@@ -58,8 +62,12 @@ DRAWS = 2
 RAISES = 2
 #: Lists longer than that have blocks by size.
 BLOCKED = 64
-#: Ids of sets to fetch are broadcast up to this number, of one long each.
+#: Pairs must meet that often, or as often as their prefixes allow, to be looked at; any number from 1 gives the same result.
+MEETINGS = 4
+#: Ids of rows to pick or to leave out are broadcast up to this number, of one long each.
 BROADCAST_IDS = 500_000
+#: Beyond that a filter of 16 bits an id is broadcast, of at most this many bits, and only rows that it cannot tell are dealt by id.
+FILTER_BITS = 1 << 28
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -185,14 +193,14 @@ def ceil_sql(a: str, b: int) -> str:
 
 
 def can_link(x: str, y: str, percent: int) -> str:
-    """SQL: sizes fit, and this meeting and the rest of both sets behind it reach the needed overlap.
+    """SQL: sizes fit, and this meeting and the rest of both sets behind it reach the needed overlap, less the meetings before it.
 
-    This holds for the first meeting of linked sets: they share nothing before it.
+    This holds for each of the first `first_meetings` of linked sets: they share fewer shingles than that before it.
     """
     need = ceil_sql(f"({x}.n + {y}.n) * {percent}", 100 + percent)
     return (
         f"{x}.n * 100 >= {y}.n * {percent} AND {y}.n * 100 >= {x}.n * {percent} "
-        f"AND 1 + least({x}.n - {x}.at - 1, {y}.n - {y}.at - 1) >= {need}"
+        f"AND least({x}.n - {x}.at, {y}.n - {y}.at) > {need} - {first_meetings(f'{x}.n', f'{y}.n', percent)}"
     )
 
 
@@ -208,9 +216,74 @@ def least_meetings(a: str, b: str, percent: int) -> str:
     return f"greatest(1, {need} - ({rest}))"
 
 
+def first_meetings(a: str, b: str, percent: int) -> str:
+    """SQL: how many meetings of two sets of sizes a and b are counted where lists meet, all of them in both prefixes."""
+    return f"least({MEETINGS}, {least_meetings(a, b, percent)})"
+
+
+def cells(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each id in a filter of `bits` bits, a power of two."""
+    h = mixed(mixed(ids.astype(np.int64).view(np.uint64) * K2))
+    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def filter_of(spark: SparkSession, ids: DataFrame, count: int):
+    """A test of id columns: false for ids that are surely none of the `count` ids, and for null."""
+    bits = min(FILTER_BITS, 1 << max(16, (16 * count - 1).bit_length()))
+
+    def run(batches):
+        for b in batches:
+            at = np.concatenate(cells(b.column(0).to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 16), pa.array(at & 65_535)], ["block", "at"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            blocks, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for block in np.unique(blocks):
+                sums.setdefault(int(block), np.zeros(65_536, bool))[at[blocks == block]] = True
+        for block, seen in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(seen).tobytes()])], ["block", "seen"])
+
+    # Blocks of 8 kB go to tasks whole.
+    blocks = ids.mapInArrow(run, "block bigint, at bigint").repartition("block").mapInArrow(add, "block bigint, seen binary")
+    found = np.zeros(bits // 8, np.uint8)
+    for r in blocks.toLocalIterator():
+        found[r["block"] * 8192:(r["block"] + 1) * 8192] = np.frombuffer(r["seen"], np.uint8)
+    shared = spark.sparkContext.broadcast(found)
+
+    @F.pandas_udf("boolean")
+    def maybe(column: pd.Series) -> pd.Series:
+        out = np.zeros(len(column), bool)
+        given = column.notna().to_numpy()
+        known = np.ones(int(given.sum()), bool)
+        for at in cells(column[given].to_numpy(), bits):
+            known &= (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        out[given] = known
+        return pd.Series(out)
+
+    return maybe
+
+
+def among(spark: SparkSession, rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose `key` is one of `ids`, a stored table of one column of distinct ids."""
+    ids = ids.toDF(key)
+    if (count := ids.count()) <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), key, "left_semi").select(*rows.columns)
+    return rows.where(filter_of(spark, ids, count)(key)).join(ids, key, "left_semi").select(*rows.columns)
+
+
+def without(spark: SparkSession, rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose `key` is none of `ids`, a stored table of one column of distinct ids, or null."""
+    ids = ids.toDF(key)
+    if (count := ids.count()) <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), key, "left_anti").select(*rows.columns)
+    maybe = filter_of(spark, ids, count)(key)
+    return rows.where(~maybe).unionByName(rows.where(maybe).join(ids, key, "left_anti").select(*rows.columns))
+
+
 def fetch(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, items): the sets of the given ids, made again from their texts; `ids` is stored and distinct."""
-    few = ids.count() <= BROADCAST_IDS
 
     def run(batches):
         from xxhash import xxh128_digest
@@ -223,8 +296,7 @@ def fetch(spark: SparkSession, docs: DataFrame, ids: DataFrame, k: int) -> DataF
             yield out.filter(kept)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    kept = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return kept.mapInArrow(run, "id bigint, digest binary, items binary").groupBy("id").agg(F.min_by("items", "digest").alias("items"))
+    return among(spark, texts, "id", ids).mapInArrow(run, "id bigint, digest binary, items binary").groupBy("id").agg(F.min_by("items", "digest").alias("items"))
 
 
 def compared(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -354,11 +426,14 @@ def difference_pairs(lists: DataFrame, facts: DataFrame, few: bool, percent: int
         f"x.shingle = y.shingle AND x.band = y.band AND x.class <> y.class AND (y.class = y.main OR x.id < y.id) AND x.component <> y.component "
         f"AND {can_link('x', 'y', percent)} AND NOT coalesce(x.hub = y.hub AND x.d + y.d > {room('x', 'y', percent)}, false)"
     )).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"),
-              F.expr("if(x.id < y.id, x.n, y.n)").alias("an"), F.expr("if(x.id < y.id, y.n, x.n)").alias("bn")).distinct()
+              F.expr("if(x.id < y.id, x.n, y.n)").alias("an"), F.expr("if(x.id < y.id, y.n, x.n)").alias("bn")
+    ).groupBy("a", "b", "an", "bn").agg(F.count("*").alias("met")).where(f"met >= {first_meetings('an', 'bn', percent)}").drop("met")
 
 
-def meeting_often(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def meeting_often(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the stored pairs whose prefixes share as many shingles as those of linked sets do."""
+    ids = checkpointed(spark, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    sets = among(spark, sets.select("doc_id", "prefix"), "doc_id", ids)
 
     def run(batches):
         for b in sliced(batches):
@@ -397,10 +472,16 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) ->
     """doc_id, n_shingles, component_id: one row per input row."""
     signs = checkpointed(spark, signatures(spark, docs, k, percent))
     filled = signs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    chosen = filled.groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    chosen = checkpointed(spark, filled.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.count("*").alias("rows")))
     sets = chosen.groupBy("digest").agg(F.min("doc_id").alias("set_id"))
-    distinct = filled.join(sets, (filled["digest"] == sets["digest"]) & (filled["doc_id"] == sets["set_id"]), "left_semi")
-    distinct = distinct.dropDuplicates(["doc_id"])
+    copies = chosen.join(sets, "digest").select("doc_id", "set_id", "rows").where("doc_id <> set_id OR rows > 1")
+    copies = checkpointed(spark, copies)
+    distinct = without(spark, filled, "doc_id", copies.select("doc_id"))
+    # Of rows that share an id, those of the chosen set are alike.
+    shared_ids = checkpointed(spark, copies.where("doc_id = set_id").select("doc_id"))
+    if not shared_ids.isEmpty():
+        alike = among(spark, filled, "doc_id", shared_ids).groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "digest", "prefix"), "digest").alias("row"))
+        distinct = distinct.unionByName(alike.select("doc_id", "row.*"))
     lists = index(distinct)
     shared = lists.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
     lists = checkpointed(spark, lists.join(shared, "shingle", "left_semi"))
@@ -416,10 +497,9 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) ->
     classes = checkpointed(spark, components(spark, links))
     facts = checkpointed(spark, facts_of(classes, groups))
     open_pairs = checkpointed(spark, difference_pairs(lists, facts, facts.count() <= BROADCAST_IDS, percent))
-    rest = meeting_often(open_pairs, distinct, percent).union(delta_pairs(groups, classes, percent)).distinct()
+    rest = meeting_often(spark, open_pairs, distinct, percent).union(delta_pairs(groups, classes, percent)).distinct()
     more = compared(spark, docs, checkpointed(spark, rest), k, percent).where("linked").select("a", "b")
-    copies = chosen.join(sets, "digest").where("doc_id <> set_id").select(F.col("doc_id").alias("a"), F.col("set_id").alias("b"))
-    final = checkpointed(spark, components(spark, links.union(more).union(copies)))
+    final = checkpointed(spark, components(spark, links.union(more).union(copies.where("doc_id <> set_id").select("doc_id", "set_id"))))
     named = signs.join(final, signs["doc_id"] == final["node"], "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -430,12 +510,11 @@ def first_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
     Of rows that repeat an id one stays, with the set that stood for the id in
     linking. Rows with a null id link with nothing and stay, all of them.
     """
-    grouped = join(spark, docs.select("doc_id", "text"), k, percent).where("component_id = doc_id").select("doc_id")
-    counted = checkpointed(spark, grouped.groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    once = counted.where("_rows = 1").select("doc_id")
-    kept = docs.join(F.broadcast(once) if once.count() <= BROADCAST_IDS else once, "doc_id", "left_semi").select(*docs.columns)
-    kept = kept.unionByName(docs.where("doc_id IS NULL"))
-    repeated = counted.where("_rows > 1").select("doc_id")
+    grouped = join(spark, docs.select("doc_id", "text"), k, percent).groupBy("doc_id", "component_id").agg(F.count("*").alias("_rows"))
+    # Texts are dealt by id only where that cannot be told before: those of the ids to leave out, which are fewer than the others.
+    left = checkpointed(spark, grouped.where("doc_id IS NOT NULL AND (component_id <> doc_id OR _rows > 1)"))
+    kept = without(spark, docs, "doc_id", left.select("doc_id"))
+    repeated = left.where("component_id = doc_id").select("doc_id")
     if repeated.isEmpty():
         return kept
 

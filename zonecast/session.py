@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 
+#: Spark's setting that removes the shuffle files of a query once it has ended.
+FREEING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(app_name: str = "zonecast", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; `conf` overrides any of them."""
     settings = {
@@ -63,6 +69,30 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+_freeing = {"writers": 0, "before": None}
+_freeing_lock = threading.Lock()
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of the queries run in here go when their query ends, not when the driver happens to collect its garbage.
+
+    The setting is the session's: of writers side by side the last one puts it back.
+    """
+    with _freeing_lock:
+        if not _freeing["writers"]:
+            _freeing["before"] = spark.conf.get(FREEING, None)
+        _freeing["writers"] += 1
+        spark.conf.set(FREEING, "true")
+    try:
+        yield
+    finally:
+        with _freeing_lock:
+            _freeing["writers"] -= 1
+            if not _freeing["writers"]:
+                spark.conf.unset(FREEING) if _freeing["before"] is None else spark.conf.set(FREEING, _freeing["before"])
+
+
 def checkpointed(spark: SparkSession, df):
     """Write `df` to the shared folder and read it back, cutting its lineage.
 
@@ -70,5 +100,6 @@ def checkpointed(spark: SparkSession, df):
     the readers; the files survive the loss of any executor.
     """
     path = new_dir(spark, "cut")
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
